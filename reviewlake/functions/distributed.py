@@ -115,23 +115,22 @@ def ranked(
     return out.select(*df.columns, F.col("__key").alias("order_key"), "rank", "group_rows")
 
 
-def exact_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Exact, linearly interpolated percentiles: rows (column, prob, value).
-
-    Values are counted first, so equal values cost one row; positions are then
-    found by running totals over balanced buckets of distinct values.
-    """
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows (column, value, n): how often each non-null value of each column occurs."""
     pairs = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
     )
-    values = (
-        df.select(F.explode(pairs).alias("p"))
-        .select("p.column", "p.value")
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    placed = with_bucket(values, F.col("value"), n_buckets(df))
+    long = df.select(F.explode(pairs).alias("p")).select("p.column", "p.value")
+    return long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def percentiles_of_counts(values: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Exact, linearly interpolated percentiles of `value_counts`: rows (column, prob, value).
+
+    Equal values are one row already; positions are found by running totals
+    over balanced buckets of the distinct values.
+    """
+    placed = with_bucket(values, F.col("value"), n_buckets(values))
     cum = running_totals(placed, ["column"], ["value"], ["n"])
     totals = values.groupBy("column").agg(F.sum("n").alias("total"))
     wanted = totals.select(

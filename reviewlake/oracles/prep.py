@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from reviewlake.functions import lexicons as lx
-from reviewlake.functions.lexicons import SPACE_CHARS
 from reviewlake.oracles.base import cte, quote, sql_list, with_ctes
 
+SPACE_CHARS = (
+    r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
 SPACE = f"[{SPACE_CHARS}]"
 NON_SPACE = f"[^{SPACE_CHARS}]"
 

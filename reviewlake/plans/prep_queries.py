@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reviewlake.functions import text as tx
 from reviewlake.functions.labels import class_label
 from reviewlake.operators import anomaly, bias, cleaning, features, validation
-from reviewlake.session import scratch_dir
+from reviewlake.session import scratch_dir, settled
 from reviewlake.sources import readers, review_view, sinks
 from reviewlake.sources.tables import table
 
@@ -32,6 +32,11 @@ def feature_frame(spark: SparkSession, folder: str) -> DataFrame:
     return features.create_features(clean_frame(spark, folder))
 
 
+def feature_store(spark: SparkSession, folder: str) -> DataFrame:
+    """The feature table, written once for reports that read it several times."""
+    return settled(feature_frame(spark, folder), "features")
+
+
 def typed_frame(spark: SparkSession, folder: str) -> DataFrame:
     """Typed but uncleaned rows, so that gaps and bad values are still there."""
     typed = _headless(spark, folder).transform(cleaning.coerce_rating).transform(cleaning.rating_to_int)
@@ -204,7 +209,7 @@ def duplicate_report(spark, folder):
 
 
 def validation_gate(spark, folder):
-    return validation.gate(feature_frame(spark, folder))
+    return validation.gate(feature_store(spark, folder))
 
 
 # --- anomalies -------------------------------------------------------------
@@ -226,7 +231,7 @@ def anom_missing(spark, folder):
 
 
 def anom_zscore(spark, folder):
-    return anomaly.z_scores(feature_frame(spark, folder))
+    return anomaly.z_scores(feature_store(spark, folder))
 
 
 def anom_dates(spark, folder):
@@ -244,7 +249,7 @@ def anom_dominance(spark, folder):
 
 
 def anomaly_report(spark, folder):
-    return anomaly.anomaly_report(typed_frame(spark, folder), AS_OF)
+    return anomaly.anomaly_report(settled(typed_frame(spark, folder), "typed"), AS_OF)
 
 
 def anom_iqr(spark, folder):
@@ -271,12 +276,12 @@ def rating_bias_verdict(spark, folder):
 
 
 def category_bias(spark, folder):
-    df = features.add_label(clean_frame(spark, folder))
+    df = settled(features.add_label(clean_frame(spark, folder)), "labelled")
     return bias.by_category(df, "sentiment").unionByName(bias.by_category(df, "placeName"))
 
 
 def category_imbalance(spark, folder):
-    df = features.add_label(clean_frame(spark, folder))
+    df = settled(features.add_label(clean_frame(spark, folder)).select("sentiment", "placeName"), "labelled")
     return bias.imbalance(df, "sentiment").unionByName(bias.imbalance(df, "placeName"))
 
 
@@ -285,11 +290,12 @@ def monthly_trend(spark, folder):
 
 
 def length_bias(spark, folder):
-    return bias.by_length(features.add_text_length(clean_frame(spark, folder)))
+    df = features.add_text_length(clean_frame(spark, folder)).select("text_length", "reviewRating")
+    return bias.by_length(settled(df, "lengths"))
 
 
 def bias_report(spark, folder):
-    return bias.bias_report(feature_frame(spark, folder))
+    return bias.bias_report(feature_store(spark, folder))
 
 
 QUERIES = {

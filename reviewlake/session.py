@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "reviewlake", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -35,3 +35,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="reviewlake-")
     return f"{root.rstrip('/')}/reviewlake-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder once and read it back.
+
+    For frames that several branches of one report read: the work behind them
+    runs once, later reads prune columns, and a lost executor costs no rework.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
