@@ -79,10 +79,14 @@ def running_totals(
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     local = rows.select("*", *[F.sum(s).over(inside).alias(f"__in_{s}") for s in sums])
-    joined = local.join(offsets, [*groups, "__b"])
+    o = offsets.select(*[F.col(c).alias(f"__o_{c}") for c in offsets.columns])
+    same = F.col("__b") == F.col("__o___b")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"__o_{g}"))
+    joined = local.join(o, same)
     return joined.select(
         *columns,
-        *[(F.col(f"__before_{s}") + F.col(f"__in_{s}")).alias(f"cum_{s}") for s in sums],
+        *[(F.col(f"__o___before_{s}") + F.col(f"__in_{s}")).alias(f"cum_{s}") for s in sums],
     )
 
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "reviewlake", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "reviewlake", master: str | None = None, partitions: int | None = None, memory: str | None = None) -> SparkSession:
     """A session with adaptive execution. On a cluster the submit settings win."""
     builder = (
         SparkSession.builder.appName(app)
@@ -21,6 +21,8 @@ def build_session(app: str = "reviewlake", master: str | None = None, partitions
         builder = builder.master(master).config("spark.ui.enabled", "false")
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     return builder.getOrCreate()
 
 

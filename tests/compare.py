@@ -89,7 +89,7 @@ def main() -> None:
     from reviewlake.session import build_session
 
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
-    spark = build_session(master="local[8]", partitions=8)
+    spark = build_session(master="local[8]", partitions=8, memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     queries, oracle = entry.queries(), entry.oracle_sql()
