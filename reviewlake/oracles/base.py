@@ -44,6 +44,11 @@ def count_hits(text: str, phrases) -> str:
     return "len(list_filter(" + sql_list(phrases) + f", lambda p: contains({text}, p)))"
 
 
+def rounded(x: str, digits: int) -> str:
+    """Half-up rounding of the printed value of a double, as Spark rounds."""
+    return f"round(({x})::VARCHAR::DECIMAL(38, 18), {digits})::DOUBLE"
+
+
 def pick(options, index: str) -> str:
     return f"({sql_list(options)})[(({index}) % {len(options)}) + 1]"
 

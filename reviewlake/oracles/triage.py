@@ -5,7 +5,7 @@ from __future__ import annotations
 from reviewlake.functions import lexicons as lx
 from reviewlake.operators.critical import ESCALATION_NOTES
 from reviewlake.operators.replies import DEFAULT_BOOK as BOOK
-from reviewlake.oracles.base import count_hits, cte, pick, quote, sql_list, with_ctes
+from reviewlake.oracles.base import count_hits, cte, pick, quote, rounded, sql_list, with_ctes
 from reviewlake.oracles.prep import SPACE, squeeze
 
 POS, NEG = sql_list(lx.POSITIVE_LABELS), sql_list(lx.NEGATIVE_LABELS)
@@ -225,9 +225,9 @@ FROM {source} q LEFT JOIN (SELECT review_id, sum(sgn)::DOUBLE / count(*) < -0.5:
         for d, hi, lo in ((d, 8, 6) if d == "professionalism" else (d, 7, 4) for d in lx.DIMENSIONS)
     )
     cte(f"quality_{suffix}", f"""
-SELECT *, round(quality_raw, 2) AS response_quality_score, CASE {grades} ELSE 'F' END AS response_grade, {levels}
+SELECT *, {rounded('quality_raw', 2)} AS response_quality_score, CASE {grades} ELSE 'F' END AS response_grade, {levels}
 FROM (SELECT *, coalesce(CASE WHEN is_neg THEN {w['negative']} WHEN is_pos THEN {w['positive']} ELSE {w['neutral']} END, 0) AS quality_raw
-FROM (SELECT *, {', '.join(f'round({d}_raw, 1) AS {d}_score' for d in lx.DIMENSIONS)} FROM (
+FROM (SELECT *, {', '.join(rounded(f'{d}_raw', 1) + f' AS {d}_score' for d in lx.DIMENSIONS)} FROM (
 SELECT *, CASE WHEN ok THEN least(10.0::DOUBLE, e) END AS empathy_raw, CASE WHEN ok THEN greatest(0.0::DOUBLE, least(10.0::DOUBLE, s)) END AS specificity_raw,
   CASE WHEN ok THEN greatest(0.0::DOUBLE, least(10.0::DOUBLE, a)) END AS actionability_raw, CASE WHEN ok THEN greatest(0.0::DOUBLE, least(10.0::DOUBLE, pr)) END AS professionalism_raw
 FROM (SELECT *, generated_response IS NOT NULL AND generated_response <> '' AS ok,

@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.oracles import prep, triage
-from reviewlake.plans import prep_queries, triage_queries
+from reviewlake.oracles import models, prep, triage
+from reviewlake.plans import model_queries, prep_queries, triage_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**prep_queries.QUERIES, **triage_queries.QUERIES}
+    return {**prep_queries.QUERIES, **triage_queries.QUERIES, **model_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**prep.oracle(), **triage.oracle()}
+    return {**prep.oracle(), **triage.oracle(), **models.oracle()}
