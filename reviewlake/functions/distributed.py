@@ -142,7 +142,7 @@ def percentiles_of_counts(values: DataFrame, probs: Sequence[float]) -> DataFram
         "total",
         F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"),
     ).withColumn("pos", F.col("prob") * (F.col("total") - 1))
-    covers = cum.join(wanted, "column").select(
+    covers = cum.join(F.broadcast(wanted), "column").select(  # columns x probabilities rows
         "column",
         "prob",
         "pos",

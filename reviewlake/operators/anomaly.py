@@ -152,7 +152,10 @@ def z_scores(df: DataFrame, limit: float = Z_LIMIT) -> DataFrame:
 
 
 def iqr(df: DataFrame, factor: float = IQR_FACTOR) -> DataFrame:
-    """Per numeric column: exact quartiles, fences and the rows outside them."""
+    """Per numeric column: exact quartiles, fences and the rows outside them.
+
+    The fences are one row per column, so they are broadcast to the counts.
+    """
     counted = settled(ds.value_counts(df, numeric_columns(df)), "value-counts")
     q = ds.percentiles_of_counts(counted, [0.25, 0.75]).groupBy("column").agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
@@ -161,7 +164,7 @@ def iqr(df: DataFrame, factor: float = IQR_FACTOR) -> DataFrame:
     spread = F.col("q3") - F.col("q1")
     fences = q.withColumn("low", F.col("q1") - factor * spread).withColumn("high", F.col("q3") + factor * spread)
     outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
-    return counted.join(fences, "column").groupBy(F.col("column").alias("subject")).agg(
+    return counted.join(F.broadcast(fences), "column").groupBy(F.col("column").alias("subject")).agg(
         *[F.max(c).alias(c) for c in ("q1", "q3", "low", "high")],
         F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("count"),
     )

@@ -38,7 +38,7 @@ def disparities(slices: DataFrame, overall: DataFrame) -> DataFrame:
     """Spread of each metric over the slices of a dimension, and its largest distance from the overall value."""
     long = slices.unpivot(["dimension", "value"], list(METRICS), "metric", "x")
     whole = overall.unpivot([], list(METRICS), "metric", "overall")
-    joined = long.join(whole, "metric")
+    joined = long.join(F.broadcast(whole), "metric")  # four rows: one per metric
     x = F.col("x")
     return joined.groupBy("dimension", "metric").agg(
         F.max(x).alias("max"), F.min(x).alias("min"), (F.max(x) - F.min(x)).alias("range"),

@@ -136,7 +136,7 @@ def auc_report(per_class_auc: DataFrame) -> DataFrame:
 def roc_from(cum: DataFrame) -> DataFrame:
     """Points (class, threshold, fpr, tpr), one per distinct score, plus the origin without threshold."""
     totals = cum.groupBy("class").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    points = cum.join(totals, "class").select(
+    points = cum.join(F.broadcast(totals), "class").select(  # one row per class: five
         "class", F.col("score").alias("threshold"),
         ratio(F.col("cum_neg"), F.col("n")).alias("fpr"), ratio(F.col("cum_pos"), F.col("p")).alias("tpr"),
     )
