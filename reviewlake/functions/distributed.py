@@ -119,6 +119,17 @@ def ranked(
     return out.select(*df.columns, F.col("__key").alias("order_key"), "rank", "group_rows")
 
 
+def pinned(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a costly column that a later filter will not be rewritten into.
+
+    The optimizer moves a filter below a projection by copying the column's
+    expression into it, which evaluates the expression again, parts of it many
+    times. It does not cross the output of a generator, hence the one-element
+    outer explode.
+    """
+    return df.select("*", F.explode_outer(F.array(column)).alias(name))
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows (column, value, n): how often each non-null value of each column occurs."""
     pairs = F.array(

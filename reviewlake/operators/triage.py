@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlake.functions.distributed import pinned
 from reviewlake.functions.labels import class_label, polarity, rating_label
 from reviewlake.operators import aspects, critical, replies, sarcasm
 
@@ -25,9 +26,8 @@ def final_label(label: Column, sarcastic: Column, issue: Column) -> Column:
 
 
 def add_issues(df: DataFrame) -> DataFrame:
-    return df.withColumn("text_lc", F.lower("reviewText")).withColumn(
-        "categories", critical.categories(F.col("text_lc"))
-    )
+    """Add the lower-cased text and the found categories, which callers filter on."""
+    return pinned(df.withColumn("text_lc", F.lower("reviewText")), "categories", critical.categories(F.col("text_lc")))
 
 
 def add_sentiment(df: DataFrame, prediction: str = "p") -> DataFrame:

@@ -85,12 +85,14 @@ def duplicate_report(df: DataFrame) -> DataFrame:
     """Rows (kind, rows): members of same-text and of identical-row groups.
 
     Groups are keyed by a digest, so texts do not travel, and hot groups of
-    copies shrink to one partial count per task.
+    copies shrink to one partial count per task. Without texts their count is 0.
     """
     def grouped(key: Column) -> DataFrame:
         return _members(df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")))
 
     exact = grouped(row_digest(data_columns(df))).select(F.lit("exact_duplicates").alias("kind"), F.col("n").alias("rows"))
+    if "reviewText" not in df.columns:
+        return exact.unionByName(exact.select(F.lit("duplicate_texts").alias("kind"), F.lit(0).cast("long").alias("rows")))
     text = grouped(row_digest(["reviewText"])).select(F.lit("duplicate_texts").alias("kind"), F.col("n").alias("rows"))
     return exact.unionByName(text)
 

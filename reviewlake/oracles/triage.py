@@ -356,7 +356,7 @@ SQL = {
         FROM (SELECT unnest({sql_list(lx.GRADE_ORDER)}) AS g) LEFT JOIN quality_v ON g = response_grade GROUP BY 1""",
     "quality_extremes": extreme("best", "DESC") + " UNION ALL " + extreme("worst", "ASC"),
     "improvement_areas": f"SELECT dimension, current_score, round(8 - current_score, 2) AS gap FROM ({_means}) WHERE current_score < 6",
-    "quality_by_label": "SELECT sentiment, round(avg(response_quality_score), 6) AS avg_quality FROM quality_v WHERE sentiment IS NOT NULL GROUP BY 1",
+    "quality_by_label": "SELECT sentiment, round(avg(response_quality_score), 6) AS avg_quality FROM quality_v GROUP BY 1",
     "reply_ab": """SELECT round(avg(a), 6) AS traditional_average, round(avg(b), 6) AS aspect_average, round(avg(b - a), 6) AS average_improvement,
         count(*) FILTER (b - a > 0) AS improved, round(avg(CASE WHEN b - a > 0 THEN 100.0::DOUBLE ELSE 0 END), 2) AS improved_pct,
         array_to_string((list(review_id ORDER BY round(b - a, 2) DESC, review_id))[1:3], ',') AS top_ids

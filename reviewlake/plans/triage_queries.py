@@ -73,8 +73,8 @@ def critical_flags(spark, folder):
 
 
 def escalations(spark, folder):
-    note = critical.escalation(F.col("categories"))
-    return _with_issues(spark, folder).select(ID, note.alias("message")).filter("message IS NOT NULL")
+    found = _with_issues(spark, folder).filter(F.size("categories") > 0)
+    return found.select(ID, critical.escalation(F.col("categories")).alias("message"))
 
 
 def sarcasm_score(spark, folder):
@@ -108,7 +108,8 @@ def clauses(spark, folder):
 def aspect_mentions(spark, folder):
     lc = F.lower("c.clause")
     found = F.array_compact(F.array(*[F.when(aspects.mentions(lc, a), F.lit(a)) for a in lx.ASPECTS]))
-    return _clause_rows(spark, folder).select(ID, "clause_no", F.explode(found).alias("aspect"))
+    rows = _clause_rows(spark, folder).select(ID, "clause_no", F.explode_outer(found).alias("aspect"))
+    return rows.filter("aspect IS NOT NULL")
 
 
 def clause_sentiment(spark, folder):
@@ -277,7 +278,7 @@ def improvement_areas(spark, folder):
 
 
 def quality_by_label(spark, folder):
-    return reply_quality.by_label(_scored_pairs(spark, folder).filter("sentiment IS NOT NULL"))
+    return reply_quality.by_label(_scored_pairs(spark, folder))
 
 
 def reply_ab(spark, folder):

@@ -44,6 +44,7 @@ def read_reviews_csv(
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
+        .option("nullValue", "\0")  # an absent value is null, a quoted empty one is ''
         .csv(path)
     )
     return nullify(df, na_tokens) if na_tokens else df
