@@ -106,11 +106,24 @@ def test_exact_percentiles(spark, values):
     assert len(got) == 3
 
 
-def test_running_totals_with_a_hot_group(spark):
+@pytest.mark.parametrize("buckets", [2, 16, 300])
+def test_running_totals_with_a_hot_group(spark, buckets):
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, "b").alias("g"), (F.col("id") * 7919 % 3001).alias("k"), F.col("id").alias("v"))
-    got = ds.running_totals(ds.with_bucket(df, F.col("k"), 16), ["g"], ["k"], ["v"]).toPandas()
+    got = ds.running_totals(ds.with_bucket(df, F.col("k"), buckets), ["g"], ["k"], ["v"]).toPandas()
     want = df.toPandas().sort_values("k")
     want["cum_v"] = want.groupby("g", dropna=False)["v"].cumsum()
-    assert len(got) == 3000
     assert got.sort_values("k")["cum_v"].tolist() == want["cum_v"].tolist()
+
+
+def test_buckets_are_balanced_and_ordered(spark):
+    df = spark.range(4000).select((F.col("id") * 7919 % 4001).alias("k"))
+    got = ds.with_bucket(df, F.col("k"), 100).toPandas().sort_values("k")
+    assert got["__b"].is_monotonic_increasing and got["__b"].max() == 99
+    assert got.groupby("__b").size().max() < 80
+
+
+def test_hot_group_totals_are_exact(spark):
+    df = spark.range(3000).select(F.lit("all").alias("g"), F.col("id").alias("k"), F.lit(1).cast("long").alias("v"))
+    got = ds.running_totals(ds.with_bucket(df, F.col("k"), 50), ["g"], ["k"], ["v"]).toPandas()
+    assert (got["cum_v"] == got["k"] + 1).all()

@@ -132,9 +132,9 @@ def test_quality_of_known_pairs(spark):
     assert [got[1][f"{d}_score"] for d in ("empathy", "specificity", "actionability", "professionalism")] == [5.0, 0.0, 0.0, 8.0]
     # 3: 2 x (contact, investigate, make it right) + 3 resolution; "contact our" is no contact phrase
     assert got[3].actionability_score == 9.0
-    # 5 + 2 x (manager, experience) + 4 x 1/8 reused words (experience) + length of 25 words or more
+    # 5 + 2 x (manager, experience) + 4 x 1/10 reused words (experience) + length of 25 words or more
     words = len(pairs[2][3].split())
-    assert got[3].specificity_score == pytest.approx(9 + 4 / 9 + (1 if words >= 25 else -2), abs=0.05)
+    assert got[3].specificity_score == pytest.approx(9 + 4 / 10 + (1 if words >= 25 else -2), abs=0.001)
     assert got[2].empathy_level == "high" and got[3].response_grade in ("A", "A+", "B")
     for i in (4, 5):
         assert (got[i].response_quality_score, got[i].response_grade, got[i].empathy_score) == (0.0, "F", None)
