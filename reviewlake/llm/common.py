@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))).to_numpy(zero_copy_only=False), float)).astype(np.int64)
+        sizes = np.nan_to_num(np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index(text))).to_numpy(zero_copy_only=False), float)).astype(np.int64)
         part = np.cumsum(sizes) // most
         cuts = np.flatnonzero(np.diff(part)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):

@@ -58,11 +58,15 @@ def sampled(data: np.ndarray, offsets: np.ndarray, length: int):
     width = max(1, min(128, length // 3))
     gram = max(1, min(16, length - width))
     ends = np.repeat(offsets[1:], np.diff(offsets))
-    for at in range(0, len(data), STEP):
-        part = data[at : at + STEP + 2 * length]
-        n_starts = min(STEP, len(part) - length + 1)
+    stop_at = 0
+    while stop_at < len(data):
+        at, border = stop_at, int(offsets[np.searchsorted(offsets, stop_at + STEP, "right") - 1])
+        # Whole documents, or a piece of one cut at a multiple of STEP from its start: runs do not depend on the order of rows.
+        stop_at = border if border > at else min(at + STEP, len(data))
+        part = data[at : stop_at + 2 * length]
+        n_starts = min(stop_at - at, len(part) - length + 1)
         if n_starts <= 0:
-            break
+            continue
         starts = np.arange(n_starts)
         fits = starts + length <= ends[at : at + n_starts] - at
         if not fits.any():
