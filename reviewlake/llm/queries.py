@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import suffix_dedup
+from reviewlake.llm import pitman_yor, suffix_dedup
 from reviewlake.llm.common import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,5 +18,6 @@ def _ready(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": _ready(suffix_dedup.op1_suffix_dedup),
+    "op2_pitman_yor": _ready(pitman_yor.op2_pitman_yor),
 }
 ORACLES: dict[str, str] = {}
