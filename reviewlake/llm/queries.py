@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import pitman_yor, suffix_dedup
+from reviewlake.llm import fingerprints, packing, pitman_yor, sharding, suffix_dedup, token_counts
 from reviewlake.llm.common import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,5 +19,9 @@ def _ready(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": _ready(suffix_dedup.op1_suffix_dedup),
     "op2_pitman_yor": _ready(pitman_yor.op2_pitman_yor),
+    "op3_token_counts": _ready(token_counts.op3_token_counts),
+    "op6_packing": _ready(packing.op6_packing),
+    "op8_sharding": _ready(sharding.op8_sharding),
+    "op10_fingerprints": _ready(fingerprints.op10_fingerprints),
 }
 ORACLES: dict[str, str] = {}
