@@ -133,18 +133,21 @@ class Rolling:
         return splitmix((self.prefix[k:] - self.prefix[: n + 1 - k]) * self.inverse[: n + 1 - k]) if n >= k else np.zeros(0, U64)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and document number of the runs of bytes other than space and \\t..\\r; documents end a run."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    n = len(data)
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and document number of the maximal runs of bytes marked `inside`; a document's border ends a run."""
+    n = len(inside)
     first = np.zeros(n + 1, bool)
     first[offsets[:-1]] = True  # also of an empty document: its place holds another one's first byte or the end
-    inside = ~space
     begins = inside.copy()
-    begins[1:] &= space[:-1] | first[1:n]
+    begins[1:] &= ~inside[:-1] | first[1:n]
     starts = np.flatnonzero(begins)
     stops = np.ones(n + 1, bool)
-    stops[:n] = space | first[:n]
+    stops[:n] = ~inside | first[:n]
     marks = np.flatnonzero(stops)
     ends = marks[np.searchsorted(marks, starts, "right")] if len(starts) else starts
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes other than space and \\t..\\r."""
+    return runs((data != 32) & ((data < 9) | (data > 13)), offsets)
