@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import fingerprints, packing, pitman_yor, sharding, suffix_dedup, token_counts
+from reviewlake.llm import fingerprints, jaccard_join, packing, pitman_yor, quality, sharding, suffix_dedup, token_counts, toxicity
 from reviewlake.llm.common import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,11 @@ QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": _ready(suffix_dedup.op1_suffix_dedup),
     "op2_pitman_yor": _ready(pitman_yor.op2_pitman_yor),
     "op3_token_counts": _ready(token_counts.op3_token_counts),
+    "op4_toxicity": _ready(toxicity.op4_toxicity),
+    "op5_jaccard_join": _ready(jaccard_join.op5_jaccard_join),
     "op6_packing": _ready(packing.op6_packing),
     "op8_sharding": _ready(sharding.op8_sharding),
+    "op9_quality": _ready(quality.op9_quality),
     "op10_fingerprints": _ready(fingerprints.op10_fingerprints),
 }
 ORACLES: dict[str, str] = {}
