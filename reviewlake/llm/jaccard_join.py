@@ -15,7 +15,7 @@ Beta(1 + m, 1 + n - m); the pair is dropped when its chance of reaching the thre
 Tasks return each class with the sum of its partners' copies and the least class it is connected to. Groups are the
 connected components of links, by repeated least labels over that forest; nothing of it goes to the driver.
 
-Result: doc_id, class_id (least doc_id of its group), set_id (least doc_id of its class), n_links (other documents of
+Result: doc_id, row (a hash of id and text), first_row (the group's least), class_id (least doc_id of its group), set_id (least doc_id of its class), n_links (other documents of
 similarity 0.8 or more, copies included). Texts without words (null, empty, white space) have no links and are groups of
 their own. Repeated rows count as copies. Rows with a null id take part; a group of only such rows has a null class_id.
 Other columns are dropped; an empty table gives no rows.
@@ -257,27 +257,34 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, class_id, set_id, n_links of every document."""
+    """doc_id, class_id, set_id, n_links, row, first_row of every document."""
     docs = docs.select(F.col(id_column).alias("doc_id"), C.text_or_empty(text).alias("text"))
     signed = C.settled(signatures(docs), "signatures")
     classes = signed.filter("name IS NOT NULL").groupBy("name").agg(
-        F.first("least").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("set_id"), F.min("row").alias("row")
-    )
+        F.first("least").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")).alias("head")
+    ).select("name", "least", "n", "copies", "head", F.col("head.row").alias("row"))
     classes = C.settled(classes, "classes")
     found = C.settled(links(_tasks(_keys(classes), chunk), classes, docs, threshold), "links")
     labels = components(found)
-    per_class = classes.select("name", "copies", "set_id").join(found.groupBy("name").agg(F.sum("n").alias("others")), "name", "left").join(labels, "name", "left")
-    per_class = per_class.select("name", "set_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "name").alias("label"))
-    heads = per_class.groupBy("label").agg(F.min("set_id").alias("class_id"))
-    whole = per_class.join(heads, "label").select("name", "class_id", "set_id", "n_links")
-    joined = signed.select("doc_id", "name").join(whole, "name", "left")
-    alone = F.col("name").isNull()
+    per_class = classes.select("name", "copies", "head").join(found.groupBy("name").agg(F.sum("n").alias("others")), "name", "left").join(labels, "name", "left")
+    per_class = per_class.select("name", "head", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "name").alias("label"))
+    heads = per_class.groupBy("label").agg(F.min("head").alias("first"))
+    whole = per_class.join(heads, "label").select("name", "first", "head", "n_links")
+    joined = signed.select("doc_id", "row", "name").join(whole, "name", "left")
+    own = lambda group, column: F.when(F.col("name").isNull(), F.col(column)).otherwise(F.col(f"{group}.{column}"))
     return joined.select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "doc_id", own("first", "doc_id").alias("class_id"), own("head", "doc_id").alias("set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "row", own("first", "row").alias("first_row"),
     )
 
 
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, all columns, one of each group: the least id (ids before nulls); of repeated rows one."""
+    mark = F.xxhash64(F.col(id_column), C.text_or_empty(text))
+    kept = jaccard_join(docs, id_column, text).filter("row = first_row").select(F.col("row").alias("__row")).distinct()
+    return docs.withColumn("__row", mark).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Whole `documents`: five words, similarity 0.8."""
-    return jaccard_join(C.table(spark, folder, "documents"))
+    return jaccard_join(C.table(spark, folder, "documents")).drop("row", "first_row")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import fingerprints, jaccard_join, packing, pitman_yor, quality, sharding, suffix_dedup, token_counts, toxicity
+from reviewlake.llm import decontamination, fingerprints, jaccard_join, packing, pitman_yor, quality, sharding, suffix_dedup, token_counts, toxicity
 from reviewlake.llm.common import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": _ready(toxicity.op4_toxicity),
     "op5_jaccard_join": _ready(jaccard_join.op5_jaccard_join),
     "op6_packing": _ready(packing.op6_packing),
+    "op7_decontamination": _ready(decontamination.op7_decontamination),
     "op8_sharding": _ready(sharding.op8_sharding),
     "op9_quality": _ready(quality.op9_quality),
     "op10_fingerprints": _ready(fingerprints.op10_fingerprints),
