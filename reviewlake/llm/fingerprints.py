@@ -76,6 +76,8 @@ def sketches(texts: list[bytes]) -> list[np.ndarray]:
     offsets = np.append(0, np.cumsum(sizes))
     name, of = phrases(np.frombuffer(b"".join(texts), np.uint8), offsets)
     full = np.flatnonzero(sizes)
+    if not len(full):
+        return [np.zeros(0, np.uint32)] * len(texts)
     keys = np.unique((of.astype(C.U64) << C.U64(32)) | (name >> C.U64(32)))
     ends = np.searchsorted(keys, np.arange(1, len(full) + 1, dtype=C.U64) << C.U64(32))
     out = [np.zeros(0, np.uint32)] * len(texts)
