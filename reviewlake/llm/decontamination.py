@@ -139,11 +139,13 @@ def scan(data: np.ndarray, offsets: np.ndarray, items: Items, other: float, thre
     """(document, item, first word, similarity) of every match of a batch."""
     names, doc, valid = shingle_rows(data, offsets)
     at, item = items.hits(names, valid)
+    if not len(at):
+        return
     first = np.searchsorted(doc, np.arange(len(offsets)))
     order = np.lexsort((at, item, doc[at]))
     at, item = at[order], item[order]
     key = doc[at] * len(items.ids) + item
-    cuts = np.flatnonzero(np.append(True, np.diff(key) != 0)) if len(at) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.append(True, np.diff(key) != 0))
     for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
         j, d = int(item[lo]), int(doc[at[lo]])
         have = sum(items.weight[j][x] for x in set(names[at[lo:hi]].astype(np.int64).tolist()))
