@@ -34,7 +34,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 3
 HASHES = BANDS * ROWS
 STEP, TOLERANCE = 16, 1e-9
-CHUNK = 512
+CHUNK, BUNDLE = 512, 4096
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEEDS = C.splitmix(np.arange(1, HASHES + 1, dtype=C.U64) * C.U64(0xD1342543DE82EF95)) | C.U64(1)
@@ -96,11 +96,11 @@ def _row():
     return F.xxhash64("doc_id", "text").alias("row")
 
 
-def needed_matches(threshold: float, tolerance: float, hashes: int = HASHES) -> np.ndarray:
-    """Least agreements among the first n values with which a pair stays, for n = 0 .. hashes."""
-    s = (np.arange(20_000) + 0.5) / 20_000
-    out = np.zeros(hashes + 1, np.int64)
-    for n in range(1, hashes + 1):
+def needed_matches(threshold: float, tolerance: float) -> dict[int, int]:
+    """Least agreements among the first n values with which a pair stays, for n = STEP, 2 STEP, ..."""
+    s = (np.arange(4000) + 0.5) / 4000
+    out = {}
+    for n in range(STEP, HASHES + 1, STEP):
         for m in range(n + 1):
             log = m * np.log(s) + (n - m) * np.log1p(-s)
             weight = np.exp(log - log.max())
@@ -134,39 +134,59 @@ def _keys(classes: DataFrame) -> DataFrame:
 
 
 def _tasks(keys: DataFrame, chunk: int) -> DataFrame:
-    """(key, band, i, j, name): members of band values that several classes share, dealt to pairs of chunks."""
-    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    met = keys.join(many, "key").withColumn("chunks", F.ceil(F.col("members") / chunk).cast("int"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int"))
-    return met.select("key", "band", "name", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
+    """(bundle, key, band, i, j, name, own): members of band values that several classes share, dealt to pairs of chunks.
+
+    Pairs of chunks are bundled, so that a task has about BUNDLE rows however many small values there are.
+    """
+    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").withColumn("chunks", F.ceil(F.col("members") / chunk).cast("int"))
+    many = C.settled(many, "shared_bands")
+    rows = many.agg(F.sum(F.col("members") * F.col("chunks"))).first()[0] or 0
+    met = keys.join(many, "key").withColumn("own", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int"))
+    pairs = met.select("key", "band", "name", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
         "key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "name", "own"
     )
-
-
-def candidates(least: np.ndarray, own: np.ndarray, i: int, j: int, band: int, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that this task has to verify: of chunks i and j, meeting first in this band, not pruned."""
-    value = _bands(least)
-    if i == j:
-        a, b = np.triu_indices(len(least), 1)
-    else:
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-    keep = np.ones(len(a), bool)
-    for earlier in range(band):
-        keep &= value[a, earlier] != value[b, earlier]
-    a, b = a[keep], b[keep]
+    return pairs.withColumn("bundle", F.pmod(F.xxhash64("key", "i", "j"), F.lit(rows // BUNDLE + 1)).cast("int"))
+
+
+def _blocks(key: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """First rows of the runs of one (key, i, j), and the number of rows."""
+    new = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [len(key)]])
+
+
+def candidates(least: np.ndarray, key: np.ndarray, i: np.ndarray, j: np.ndarray, own: np.ndarray, band: np.ndarray, needed: dict[int, int]):
+    """Pairs of rows to verify and their block, for rows in order of (key, i, j): of chunks i and j, first meeting in this
+    band, not pruned."""
+    cuts = _blocks(key, i, j)
+    sizes = np.diff(cuts)
+    left, right = [], []
+    same = i[cuts[:-1]] == j[cuts[:-1]]
+    for m in np.unique(sizes[same]):
+        x, y = np.triu_indices(m, 1)
+        first = cuts[:-1][same & (sizes == m)][:, None]
+        left.append((first + x).ravel())
+        right.append((first + y).ravel())
+    for at, n in zip(cuts[:-1][~same].tolist(), sizes[~same].tolist(), strict=True):
+        x, y = (at + np.flatnonzero(own[at : at + n] == side) for side in (i[at], j[at]))
+        left.append(np.repeat(x, len(y)))
+        right.append(np.tile(y, len(x)))
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
     agree = np.zeros(len(a), np.int64)
     for at in range(0, HASHES, STEP):
         agree += (least[a, at : at + STEP] == least[b, at : at + STEP]).sum(1)
-        keep = agree >= needed[min(at + STEP, HASHES)]
+        keep = agree >= needed[at + STEP]
         a, b, agree = a[keep], b[keep], agree[keep]
-    return a, b
+    value = _bands(least)
+    met = band[a]
+    keep = np.ones(len(a), bool)
+    for earlier in range(BANDS):
+        keep &= (earlier >= met) | (value[a, earlier] != value[b, earlier])
+    a, b = a[keep], b[keep]
+    return a, b, np.searchsorted(cuts, a, "right") - 1
 
 
 def shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact number of shingles that each pair of sets shares."""
-    if len(a) <= 4 * len(sets):
-        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+    """Exact number of shingles that each pair of sets shares, by products of the sets' membership matrix."""
     sizes = np.array([len(s) for s in sets])
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), sizes)
@@ -199,17 +219,20 @@ def links(tasks: DataFrame, classes: DataFrame, docs: DataFrame, threshold: floa
     """(name, root, n): per task and class with a link, the least class of its part of the group and its partners' copies."""
     needed = needed_matches(threshold, TOLERANCE)
 
-    def prune(table: pa.Table) -> pa.Table:
-        table = table.sort_by("name")
+    def opened(table: pa.Table):
+        table = table.sort_by([(c, "ascending") for c in ("key", "i", "j", "name")])
         least = np.frombuffer(b"".join(table["least"].to_pylist()), np.uint32).reshape(-1, HASHES)
-        a, b = candidates(least, table["own"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py(), table["band"][0].as_py(), needed)
+        return table, candidates(least, *[table[c].to_numpy() for c in ("key", "i", "j", "own", "band")], needed)
+
+    def prune(table: pa.Table) -> pa.Table:
+        table, (a, b, _) = opened(table)
         keep = np.zeros(table.num_rows, bool)
         keep[a] = keep[b] = True
         return table.filter(pa.array(keep))
 
-    full = tasks.join(classes.select("name", "least", "n", "copies"), "name").select("key", "band", "i", "j", "name", "own", "least", "n", "copies")
-    kinds = "key long, band int, i int, j int, name long, own int, least binary, n int, copies long"
-    left = C.settled(full.groupBy("key", "i", "j").applyInArrow(prune, kinds), "candidates")
+    full = tasks.join(classes.select("name", "least", "n", "copies"), "name").select("bundle", "key", "band", "i", "j", "name", "own", "least", "n", "copies")
+    kinds = "bundle int, key long, band int, i int, j int, name long, own int, least binary, n int, copies long"
+    left = C.settled(full.groupBy("bundle").applyInArrow(prune, kinds), "candidates")
 
     def sets(batches):
         for batch in C.slices(batches):
@@ -223,13 +246,19 @@ def links(tasks: DataFrame, classes: DataFrame, docs: DataFrame, threshold: floa
     speakers = speakers.groupBy("name").agg(F.first("shingles").alias("shingles"))
 
     def verify(table: pa.Table) -> pa.Table:
-        table = table.sort_by("name")
+        table, (a, b, block) = opened(table)
         names = table["name"].to_numpy()
-        least = np.frombuffer(b"".join(table["least"].to_pylist()), np.uint32).reshape(-1, HASHES)
-        a, b = candidates(least, table["own"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py(), table["band"][0].as_py(), needed)
         own = [np.frombuffer(x, C.U64) for x in table["shingles"].to_pylist()]
         size, copies = np.array([len(x) for x in own], np.int64), table["copies"].to_numpy()
-        both = shared(own, a, b) if len(a) else np.zeros(0, np.int64)
+        both = np.zeros(len(a), np.int64)
+        pairs = np.bincount(block)
+        heavy = pairs > 256
+        for x in np.flatnonzero(~heavy[block] if len(a) else []).tolist():
+            both[x] = len(np.intersect1d(own[a[x]], own[b[x]], assume_unique=True))
+        for k in np.flatnonzero(heavy).tolist():
+            mine = np.flatnonzero(block == k)
+            rows, at = np.unique(np.concatenate([a[mine], b[mine]]), return_inverse=True)
+            both[mine] = shared([own[r] for r in rows], at[: len(mine)], at[len(mine) :])
         ok = both >= threshold * (size[a] + size[b] - both) - 1e-9
         a, b = a[ok], b[ok]
         n = np.bincount(a, copies[b], len(own)) + np.bincount(b, copies[a], len(own))
@@ -238,7 +267,7 @@ def links(tasks: DataFrame, classes: DataFrame, docs: DataFrame, threshold: floa
         return pa.table([pa.array(names[linked]), pa.array(names[root[linked]]), pa.array(n[linked].astype(np.int64))], names=["name", "root", "n"])
 
     whole = left.join(speakers, "name")
-    return whole.groupBy("key", "i", "j").applyInArrow(verify, "name long, root long, n long")
+    return whole.groupBy("bundle").applyInArrow(verify, "name long, root long, n long")
 
 
 def components(edges: DataFrame) -> DataFrame:
