@@ -12,11 +12,11 @@ from reviewlake.functions import lexicons as lx
 from reviewlake.functions.text import any_hit, hits, strings
 
 ESCALATION_NOTES = {
-    "health_violation": "URGENT: possible health violation, investigate at once",
-    "safety": "URGENT: safety concern, review at once",
-    "discrimination": "CRITICAL: discrimination reported, legal review needed",
-    "theft_fraud": "HIGH: theft or fraud reported, management review needed",
-    "extreme_negative": "HIGH: extremely negative review, answer first",
+    "health_violation": "hygiene: close the kitchen until inspected",
+    "safety": "premises: remove the hazard",
+    "discrimination": "conduct: take statements and inform counsel",
+    "theft_fraud": "money: compare receipts and recordings",
+    "extreme_negative": "guest lost: owner to answer in person",
 }
 
 

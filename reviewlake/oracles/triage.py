@@ -337,9 +337,9 @@ SQL = {
         SELECT review_id, CASE WHEN review_id % 13 = 0 THEN 'unheard of' ELSE corrected_sentiment END AS label FROM label_s)""",
     "reply_router": "SELECT review_id, route, generated_response FROM reply_i",
     "reply_tone": "SELECT * FROM tone_s",
-    "prompt_batch": f"""SELECT review_id, {_context} AS context, concat_ws(chr(10), 'Write a short, polite business reply to this review.',
+    "prompt_batch": f"""SELECT review_id, {_context} AS context, concat_ws(chr(10), 'Draft our answer to the guest below.',
         'Context: ' || {_context}, 'Reviewer: ' || "authorName", 'Review: "' || coalesce("reviewText", '') || '"',
-        'Instructions: ' || {_how}, 'Response:') AS prompt FROM label_i""",
+        'Task: ' || {_how}, 'Answer:') AS prompt FROM label_i""",
     "reply_tidy": f"""SELECT review_id, CASE WHEN len(string_split(w, '. ')) > 4 THEN array_to_string(string_split(w, '. ')[1:4], '. ') || '.' ELSE w END AS tidy
         FROM (SELECT review_id, CASE WHEN t = '' THEN '' ELSE {_tidy} END AS w FROM (SELECT review_id, {squeeze('"reviewText"')} AS t FROM reviews_v))""",
     "reply_wrap": f"""SELECT review_id, CASE WHEN (review_id * 31) % 10 >= 3 THEN {_wraps['intro']} || ' ' || t || ' ' || {_wraps['closing']} ELSE t END AS reply
