@@ -18,9 +18,11 @@ KEY_SPACE = 2147483647
 
 
 def spread_key(row_id: Column, seed: int = 42) -> Column:
-    """A reproducible pseudo-random integer in [0, KEY_SPACE) made of arithmetic."""
+    """A reproducible pseudo-random integer in [0, KEY_SPACE) made of arithmetic.
+
+    The multiplier is about half the modulus, so that any run of consecutive ids is spread over the whole key space."""
     r = F.pmod(row_id, F.lit(1000000007))
-    return F.pmod(r * F.lit(48271) + F.lit(seed * 40503), F.lit(KEY_SPACE))
+    return F.pmod(r * F.lit(1103515245) + F.lit(seed * 40503), F.lit(KEY_SPACE))
 
 
 def row_digest(columns: Sequence[str]) -> Column:
@@ -32,9 +34,8 @@ def row_digest(columns: Sequence[str]) -> Column:
 
 
 def n_buckets(df: DataFrame) -> int:
-    """Buckets for the functions below: a few per shuffle partition, bounded."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(4096, 4 * partitions))
+    """Buckets for the functions below: four per shuffle partition, so they grow as the cluster is set up for the data."""
+    return max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def with_bucket(df: DataFrame, order: Column, buckets: int) -> DataFrame:

@@ -8,9 +8,9 @@ Defaults are the production settings; pass smaller ones to try things out.
 from __future__ import annotations
 
 import random
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -20,7 +20,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -31,23 +31,36 @@ from reviewlake.functions import lexicons as lx
 from reviewlake.functions.labels import class_label
 from reviewlake.functions.text import strings
 from reviewlake.operators import metrics
+from reviewlake.session import settled
 
 SEED = 42
 MAX_TERMS = 10000
 C_VALUES = (0.01, 0.1, 1.0, 10.0, 100.0)
 
 
-def tfidf(max_terms: int = MAX_TERMS, min_df: float = 2, max_df: float = 0.95) -> Pipeline:
-    """Words, word pairs and triples -> counts -> idf -> unit length, in `features`."""
-    return Pipeline(stages=[
+def fit_tfidf(train: DataFrame, max_terms: int = MAX_TERMS, min_df: int = 2, max_df: float = 0.95) -> PipelineModel:
+    """Words, word pairs and triples -> counts -> idf -> unit length, in `features`.
+
+    The vocabulary is the `max_terms` most frequent terms of at least `min_df` rows and at most the share `max_df` of
+    them, ties by the term itself, so it is the same in every run.
+    """
+    split = [
         RegexTokenizer(inputCol="reviewText", outputCol="words", pattern=r"\w\w+", gaps=False),
         NGram(n=2, inputCol="words", outputCol="pairs"),
         NGram(n=3, inputCol="words", outputCol="triples"),
         SQLTransformer(statement="SELECT *, concat(words, pairs, triples) AS terms FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=max_terms, minDF=min_df, maxDF=max_df),
-        IDF(inputCol="counts", outputCol="weights"),
-        Normalizer(p=2.0, inputCol="weights", outputCol="features"),
-    ])
+    ]
+    terms = PipelineModel(split).transform(train.select("reviewText")).select("terms")
+    rows = train.count()
+    often = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
+    holding = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
+    kept = often.join(holding, "term").filter((F.col("rows") >= min_df) & (F.col("rows") <= max_df * rows))
+    words = [r.term for r in kept.orderBy(F.desc("uses"), "term").limit(max_terms).collect()]  # at most `max_terms`
+    if not words:
+        raise ValueError("no term is frequent enough for a vocabulary")
+    counts = CountVectorizerModel.from_vocabulary(words, inputCol="terms", outputCol="counts")
+    idf = IDF(inputCol="counts", outputCol="weights").fit(counts.transform(terms))
+    return PipelineModel([*split, counts, idf, Normalizer(p=2.0, inputCol="weights", outputCol="features")])
 
 
 def vocabulary(features: PipelineModel) -> list[str]:
@@ -77,28 +90,30 @@ def class_weights(train: DataFrame) -> DataFrame:
     return train.join(F.broadcast(weights), "label")  # five rows at most: one per rating
 
 
-def logistic(max_iter: int = 1000, c: float = 1.0, rows: int = 4500) -> LogisticRegression:
-    """L2 strength 1/C on the sum of losses is 1/(C x rows) on their mean."""
+def logistic(rows: int, max_iter: int = 1000, c: float = 1.0) -> LogisticRegression:
+    """L2 strength 1/C on the sum of losses is 1/(C x rows) on their mean; `rows` are the training rows."""
     return LogisticRegression(family="multinomial", maxIter=max_iter, regParam=1.0 / (c * rows), weightCol="weight")
 
 
-def forest(trees: int = 200, depth: int = 12) -> RandomForestClassifier:
+def forest(rows: int | None = None, trees: int = 200, depth: int = 12) -> RandomForestClassifier:
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, weightCol="weight", featureSubsetStrategy="sqrt")
 
 
-def boosting(rounds: int = 150, depth: int = 3) -> OneVsRest:
+def boosting(rows: int | None = None, rounds: int = 150, depth: int = 3) -> OneVsRest:
     """One binary booster per class: the built-in one knows two classes only."""
     return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=SEED), parallelism=5)
 
 
-def linear_svc(max_iter: int = 1500, reg: float = 1e-4) -> OneVsRest:
-    return OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg), weightCol="weight", parallelism=5)
+def linear_svc(rows: int, max_iter: int = 1500, c: float = 1.0) -> OneVsRest:
+    """As for `logistic`, the strength of C depends on the number of training rows."""
+    return OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=1.0 / (c * rows)), weightCol="weight", parallelism=5)
 
 
-def bayes(alpha: float = 0.1) -> NaiveBayes:
+def bayes(rows: int | None = None, alpha: float = 0.1) -> NaiveBayes:
     return NaiveBayes(modelType="multinomial", smoothing=alpha)
 
 
+#: Makers of estimators; each takes the number of training rows.
 MODELS = {
     "LogisticRegression": logistic, "RandomForest": forest, "GradientBoosting": boosting,
     "LinearSVC": linear_svc, "MultinomialNB": bayes,
@@ -107,22 +122,37 @@ MODELS = {
 
 @dataclass
 class Prepared:
-    """Feature model and the featurised parts of one data set."""
+    """Feature model, the featurised parts of one data set and the number of training rows."""
 
     features: PipelineModel
     train: DataFrame
     val: DataFrame
     test: DataFrame
+    rows: int
+
+
+@dataclass
+class Trained:
+    """The best model by validation F1, the F1 of each that could be fitted, and the reason for each that could not."""
+
+    name: str | None = None
+    model: Model | None = None
+    scores: dict[str, float] = field(default_factory=dict)
+    failures: dict[str, str] = field(default_factory=dict)
+
+    def table(self, spark) -> DataFrame:
+        """Rows (model, f1, error)."""
+        rows = [(k, v, None) for k, v in self.scores.items()] + [(k, None, v) for k, v in self.failures.items()]
+        return spark.createDataFrame(rows, "model string, f1 double, error string")
 
 
 def prepare(parts: DataFrame, max_terms: int = MAX_TERMS) -> Prepared:
-    """Fit features on the training part only. The small training part is kept in memory."""
+    """Fit features on the training part only; its rows, bounded by balancing, are written out for the passes of fitting."""
     train = parts.filter("split = 'train'")
-    features = tfidf(max_terms).fit(train)
-    ready = class_weights(featurise(features, train)).persist()
-    return Prepared(
-        features, ready, featurise(features, parts.filter("split = 'val'")), featurise(features, parts.filter("split = 'test'"))
-    )
+    features = fit_tfidf(train, max_terms)
+    ready = settled(class_weights(featurise(features, train)), "train")
+    val, test = (featurise(features, parts.filter(F.col("split") == s)) for s in ("val", "test"))
+    return Prepared(features, ready, val, test, ready.count())
 
 
 def predictions(model: Model, df: DataFrame) -> DataFrame:
@@ -143,19 +173,19 @@ def train_report(name: str, model: Model, data: Prepared) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def train_all(data: Prepared, estimators: dict) -> tuple[str | None, Model | None, dict[str, float]]:
-    """Fit each estimator and keep the best by validation F1; one that fails is skipped."""
-    best_name, best, scores = None, None, {}
+def train_all(data: Prepared, estimators: dict) -> Trained:
+    """Fit each estimator and keep the best by validation F1; one that fails is reported and does not stop the others."""
+    out = Trained()
     for name, estimator in estimators.items():
         try:
             model = estimator.fit(data.train)
-            scores[name] = evaluate(model, data.val).first()["f1"]
-        except Exception as error:  # one model must not stop the others
-            print(f"{name} was skipped: {error}")
+            out.scores[name] = evaluate(model, data.val).first()["f1"]
+        except Exception as error:
+            out.failures[name] = f"{type(error).__name__}: {error}"
             continue
-        if best is None or scores[name] > scores[best_name]:
-            best_name, best = name, model
-    return best_name, best, scores
+        if out.model is None or out.scores[name] > out.scores[out.name]:
+            out.name, out.model = name, model
+    return out
 
 
 def score(model: Model, df: DataFrame) -> DataFrame:
@@ -171,22 +201,23 @@ def score(model: Model, df: DataFrame) -> DataFrame:
     )
 
 
-def search_space(name: str, seed: int = SEED, trials: int = 50) -> list[dict]:
-    """A seeded sample of settings per model, within fixed ranges (log scale where marked)."""
+def search_space(name: str, rows: int, seed: int = SEED, trials: int = 50) -> list[dict]:
+    """A seeded sample of settings per model, within fixed ranges (log scale where marked); `rows` are the training rows."""
     rng = random.Random(seed)
 
     def log(a: float, b: float) -> float:
         return a * (b / a) ** rng.random()
 
     draw = {
-        "LogisticRegression": lambda: {"regParam": 1.0 / (4500 * log(0.001, 50)), "maxIter": rng.randint(200, 1500)},
+        "LogisticRegression": lambda: {
+            "regParam": 1.0 / (rows * log(0.001, 50)), "elasticNetParam": rng.choice([0.0, 1.0]), "maxIter": rng.randint(200, 1500)},
         "RandomForest": lambda: {
             "numTrees": rng.randint(100, 300), "maxDepth": rng.randint(8, 30), "minInstancesPerNode": rng.randint(1, 10),
             "featureSubsetStrategy": rng.choice(["sqrt", "log2"])},
         "GradientBoosting": lambda: {
             "maxIter": rng.randint(80, 300), "stepSize": log(0.01, 0.25), "maxDepth": rng.randint(2, 6),
             "minInstancesPerNode": rng.randint(1, 10), "subsamplingRate": rng.uniform(0.7, 1.0)},
-        "LinearSVC": lambda: {"regParam": 1.0 / (4500 * log(0.001, 10)), "maxIter": rng.randint(1000, 3000)},
+        "LinearSVC": lambda: {"regParam": 1.0 / (rows * log(0.001, 10)), "maxIter": rng.randint(1000, 3000)},
         "MultinomialNB": lambda: {"smoothing": log(0.01, 1.0)},
     }[name]
     return [draw() for _ in range(trials)]
@@ -243,10 +274,9 @@ def top_terms(model: Model, features: PipelineModel, spark, per_class: int = 20,
 
 def sensitivity(data: Prepared, values=C_VALUES, max_iter: int = 1000) -> DataFrame:
     """Validation F1 of logistic regression for each C: rows (param, value, f1)."""
-    rows = data.train.count()
     results = []
     for c in values:
-        model = logistic(max_iter, c, rows).fit(data.train)
+        model = logistic(data.rows, max_iter, c).fit(data.train)
         results.append(("C", float(c), evaluate(model, data.val).first()["f1"]))
     schema = T.StructType([
         T.StructField("param", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("f1", T.DoubleType())

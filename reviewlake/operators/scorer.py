@@ -9,12 +9,13 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlake.operators import aspects, models
+from reviewlake.operators import aspects, models, sampling
+from reviewlake.session import settled
 
 OUTPUT = T.StructType([
     T.StructField("label", T.StringType()),
@@ -38,16 +39,23 @@ class SentimentScorer(ABC):
 
 
 class ModelScorer(SentimentScorer):
-    """TF-IDF plus a `pyspark.ml` classifier with probabilities."""
+    """TF-IDF plus a `pyspark.ml` classifier with probabilities.
 
-    def __init__(self, classifier=None, max_terms: int = models.MAX_TERMS):
+    Training draws `target` rows per rating (1 to 5; other rows are left out), so it needs a `review_id` and does not grow
+    with the corpus.
+    """
+
+    def __init__(self, classifier=None, max_terms: int = models.MAX_TERMS, target: int = sampling.TARGET):
         self.classifier = classifier or models.bayes()
-        self.max_terms = max_terms
+        self.max_terms, self.target = max_terms, target
         self.model: PipelineModel | None = None
 
     def train(self, df: DataFrame) -> None:
-        labelled = df.withColumn("label", (F.col("reviewRating") - 1).cast("double")).withColumn("weight", F.lit(1.0))
-        self.model = Pipeline(stages=[models.tfidf(self.max_terms), self.classifier]).fit(labelled)
+        rated = df.filter(F.col("reviewRating").between(1, 5) & F.col("reviewText").isNotNull()).select("review_id", "reviewText", "reviewRating")
+        drawn = settled(sampling.balance(rated, self.target), "scorer")
+        features = models.fit_tfidf(drawn, self.max_terms)
+        ready = models.class_weights(models.featurise(features, drawn))
+        self.model = PipelineModel([*features.stages, self.classifier.fit(ready)])
 
     def predict(self, df: DataFrame) -> DataFrame:
         if self.model is None:

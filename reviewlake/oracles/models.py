@@ -7,7 +7,7 @@ from reviewlake.oracles.base import cte, sql_list, with_ctes
 
 
 def key(row_id: str, seed: int) -> str:
-    return f"(({row_id} % 1000000007) * 48271 + {seed * 40503}) % 2147483647"
+    return f"(({row_id} % 1000000007) * 1103515245 + {seed * 40503}) % 2147483647"
 
 
 def label(c: str) -> str:

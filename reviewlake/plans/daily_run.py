@@ -28,16 +28,16 @@ def check(df: DataFrame, as_of: str) -> dict[str, DataFrame]:
 def train(df: DataFrame, estimators: dict | None = None, target: int = sampling.TARGET, leaky: bool = False):
     """Split, balance, fit every model, keep the best, and check it over slices.
 
-    Returns the best model's name and model, validation scores, test metrics and
-    the fairness report.
+    Returns what was trained (best model, scores, failures), test metrics and the
+    fairness report; the last two are None if no model could be fitted.
     """
     parts = sampling.training_sets(df, target, leaky)
     data = models.prepare(parts)
-    name, best, scores = models.train_all(data, estimators or {k: make() for k, make in models.MODELS.items()})
-    if best is None:
-        return None, None, scores, None, None
-    scored = models.predictions(best, data.test)
-    return name, best, scores, metrics.weighted_metrics(metrics.pair_counts(scored)), fairness.fairness_report(scored)
+    trained = models.train_all(data, estimators or {k: make(data.rows) for k, make in models.MODELS.items()})
+    if trained.model is None:
+        return trained, None, None
+    scored = models.predictions(trained.model, data.test)
+    return trained, metrics.weighted_metrics(metrics.pair_counts(scored)), fairness.fairness_report(scored)
 
 
 def answer(scored: DataFrame, prediction: str = "p") -> DataFrame:

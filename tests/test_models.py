@@ -74,11 +74,13 @@ def test_histogram_puts_the_maximum_in_the_last_bin(spark):
 def test_fit_score_save_and_pick_best(spark):
     df = settled(review_view.reviews(spark, DATA).select("review_id", "reviewText", "reviewRating"), "test-texts")
     data = models.prepare(settled(sampling.training_sets(df, target=60), "test-parts"), max_terms=500)
-    name, best, scores = models.train_all(data, {"broken": None, "bayes": models.bayes(), "logistic": models.logistic(10)})
+    got = models.train_all(data, {"broken": None, "bayes": models.bayes(), "logistic": models.logistic(data.rows, 10)})
+    name, best, scores = got.name, got.model, got.scores
     assert set(scores) == {"bayes", "logistic"} and name == max(scores, key=scores.get) and scores[name] > 0.3
+    assert {(r.model, r.f1 is None, r.error is None) for r in got.table(spark).collect()} == {("broken", True, False), ("bayes", False, True), ("logistic", False, True)}
     out = models.score(best, data.test).first()
     assert sum(out.probabilities.values()) == pytest.approx(1) and out.confidence == max(out.probabilities.values())
-    plug = scorer.ModelScorer(max_terms=300)
+    plug = scorer.ModelScorer(max_terms=300, target=60)
     plug.train(df)
     path = scratch_dir(spark, "test-model")
     plug.save(path)
