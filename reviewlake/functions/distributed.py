@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reviewlake.session import settled
+
 KEY_SPACE = 2147483647
 
 
@@ -82,7 +84,7 @@ def running_totals(
     groups = list(groups)
     columns = [c for c in rows.columns if c != "__b"]
     cells = rows.groupBy(*groups, "__b").agg(*[F.sum(s).alias(s) for s in sums])
-    offsets = _offsets(cells, groups, sums)
+    offsets = settled(_offsets(cells, groups, sums), "offsets")
     inside = (
         W.partitionBy(*groups, "__b").orderBy(*order)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -104,7 +106,8 @@ def ranked(
 ) -> DataFrame:
     """Add `rank` (1..n in each group by `spread_key`, ties by id) and `group_rows`.
 
-    With `at_most`, buckets that begin past it are dropped before the shuffle.
+    With `at_most`, buckets that begin past it are dropped before the shuffle
+    as long as the totals are small enough to be broadcast.
     """
     buckets = n_buckets(df)
     keyed = df.withColumn("__key", spread_key(F.col(row_id), seed)).withColumn(
@@ -120,6 +123,8 @@ def ranked(
     )
     if at_most is not None:
         offsets = offsets.filter(F.col("__before") < at_most)
+    # Written out, the few totals have a known size: the join drops buckets in the map tasks and moves no row for it.
+    offsets = settled(offsets, "offsets")
     rows = keyed.join(offsets, [group, "__b"])
     inside = W.partitionBy(group, "__b").orderBy("__key", row_id)
     out = rows.withColumn("rank", F.col("__before") + F.row_number().over(inside))

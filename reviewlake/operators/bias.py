@@ -86,20 +86,15 @@ def imbalance(df: DataFrame, column: str) -> DataFrame:
     """Largest over smallest category, both named (ties: smallest name), and the null rows."""
     counts = df.groupBy(F.col(column).cast("string").alias("category")).agg(F.count(F.lit(1)).alias("n"))
     named = F.col("category").isNotNull()
-    n = F.when(named, F.col("n"))
-    extremes = counts.agg(
-        F.max(n).alias("hi"),
-        F.min(n).alias("lo"),
+    return counts.agg(
+        F.min(F.when(named, F.struct((-F.col("n")).alias("n"), "category"))).alias("most"),
+        F.min(F.when(named, F.struct("n", "category"))).alias("least"),
         F.coalesce(F.sum(F.when(~named, F.col("n"))), F.lit(0)).alias("null_count"),
-    )
-    hi, lo = counts.agg(F.max(n)).scalar(), counts.agg(F.min(n)).scalar()
-    most = counts.filter(named & (F.col("n") == hi)).agg(F.min("category")).scalar()
-    least = counts.filter(named & (F.col("n") == lo)).agg(F.min("category")).scalar()
-    return extremes.select(
+    ).select(
         F.lit(column).alias("dimension"),
-        r6(F.col("hi") / F.col("lo")).alias("imbalance_ratio"),
-        most.alias("most_common"),
-        least.alias("least_common"),
+        r6(-F.col("most.n") / F.col("least.n")).alias("imbalance_ratio"),
+        F.col("most.category").alias("most_common"),
+        F.col("least.category").alias("least_common"),
         "null_count",
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.labels import rating_label
+from reviewlake.session import settled
 
 NULL_TEXT_LENGTH = 3  # fixed value: a missing text read as the word "nan"
 
@@ -27,10 +28,10 @@ def add_label(df: DataFrame, scheme: str = "excellent") -> DataFrame:
 def add_place_average(df: DataFrame) -> DataFrame:
     """Mean rating of the row's place; null for rows without a place.
 
-    Means are aggregated first (partial sums before the shuffle) and joined
-    back, so a place that holds a third of all rows is never one window task:
-    adaptive execution broadcasts the means if they are small and otherwise
-    splits the hot join partition.
+    Means are aggregated first (partial sums before the shuffle) and written
+    out, so the planner knows how small they are before it plans the join: it
+    broadcasts them under its own limit, and no row of the large side moves.
+    Beyond the limit adaptive execution splits the partition of a hot place.
     """
     for column in ("placeName", "reviewRating"):
         if column not in df.columns:
@@ -40,7 +41,7 @@ def add_place_average(df: DataFrame) -> DataFrame:
         .groupBy("placeName")
         .agg(F.avg("reviewRating").alias("restaurant_avg_rating"))
     )
-    return df.join(means, "placeName", "left").select(*df.columns, "restaurant_avg_rating")
+    return df.join(settled(means, "place-means"), "placeName", "left").select(*df.columns, "restaurant_avg_rating")
 
 
 def create_features(df: DataFrame, pandas_compat: bool = False) -> DataFrame:

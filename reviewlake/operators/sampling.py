@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.distributed import KEY_SPACE, ranked, spread_key
+from reviewlake.session import settled
 
 SEED = 42
 TARGET = 900
@@ -24,7 +25,7 @@ def balance(df: DataFrame, target: int = TARGET, label: str = "reviewRating", ro
     `target` rows are moved, so a class with most of the data stays spread out.
     """
     classes = df.filter(F.col(label).isNotNull())
-    picked = ranked(classes, label, row_id, seed, at_most=target)
+    picked = settled(ranked(classes, label, row_id, seed, at_most=target), "picked")  # at most `target` rows per class
     under = picked.filter(F.col("group_rows") >= target).withColumn("draw", F.col("rank"))
     small = picked.filter(F.col("group_rows") < target)
     draws = (

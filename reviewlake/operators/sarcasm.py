@@ -24,7 +24,7 @@ def line_pattern(pattern: str) -> str:
 
 def score(text: Column, text_lc: Column) -> Column:
     patterns = F.lit(0)
-    for beginning, pattern in zip(BEGINNINGS, lx.SARCASM_PATTERNS):
+    for beginning, pattern in zip(BEGINNINGS, lx.SARCASM_PATTERNS, strict=True):
         found = text_lc.contains(beginning) & text_lc.rlike(line_pattern(pattern))
         patterns = patterns + found.cast("int")
     context = n_hits(text_lc, lx.SARCASM_CONTEXT)

@@ -76,25 +76,22 @@ def missing_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     )
 
 
-def _members(groups: DataFrame) -> DataFrame:
-    """Rows that belong to groups of two or more."""
-    return groups.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n"))
-
-
 def duplicate_report(df: DataFrame) -> DataFrame:
     """Rows (kind, rows): members of same-text and of identical-row groups.
 
-    Groups are keyed by a digest, so texts do not travel, and hot groups of
-    copies shrink to one partial count per task. Without texts their count is 0.
+    Both kinds are counted in one pass. Groups are keyed by a digest, so texts
+    do not travel, and hot groups of copies shrink to one partial count per
+    task. Without texts their count is 0.
     """
-    def grouped(key: Column) -> DataFrame:
-        return _members(df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")))
-
-    exact = grouped(row_digest(data_columns(df))).select(F.lit("exact_duplicates").alias("kind"), F.col("n").alias("rows"))
-    if "reviewText" not in df.columns:
-        return exact.unionByName(exact.select(F.lit("duplicate_texts").alias("kind"), F.lit(0).cast("long").alias("rows")))
-    text = grouped(row_digest(["reviewText"])).select(F.lit("duplicate_texts").alias("kind"), F.col("n").alias("rows"))
-    return exact.unionByName(text)
+    keys = [F.struct(F.lit("exact_duplicates").alias("kind"), row_digest(data_columns(df)).alias("key"))]
+    if "reviewText" in df.columns:
+        keys.append(F.struct(F.lit("duplicate_texts").alias("kind"), row_digest(["reviewText"]).alias("key")))
+    groups = df.select(F.explode(F.array(*keys)).alias("d")).groupBy("d.kind", "d.key").agg(F.count(F.lit(1)).alias("n"))
+    found = groups.agg(*[
+        F.coalesce(F.sum(F.when((F.col("kind") == k) & (F.col("n") > 1), F.col("n"))), F.lit(0)).alias(k)
+        for k in ("exact_duplicates", "duplicate_texts")
+    ])
+    return found.unpivot([], ["exact_duplicates", "duplicate_texts"], "kind", "rows")
 
 
 def gate(df: DataFrame) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewlake.operators import anomaly, bias, cleaning, fairness, features, metrics, models, reply_quality, sampling, triage, validation
+from reviewlake.session import settled
 from reviewlake.sources import readers, sinks
 
 
-def prepare(spark: SparkSession, source: str, target: str, kind: str = "local") -> DataFrame:
-    """Raw reviews -> feature table, written once as Parquet and read back."""
-    raw = readers.acquire(spark, source, kind)
+def prepare(spark: SparkSession, source: str, target: str, kind: str = "local", *, multi_line: bool, id_column: str | None = None) -> DataFrame:
+    """Raw reviews -> feature table with a `review_id`, written once as Parquet and read back.
+
+    The acquired rows are written first, so that ids are fixed before anything else reads them.
+    """
+    raw = settled(readers.acquire(spark, source, kind, multi_line=multi_line, id_column=id_column), "acquired")
     sinks.write_parquet(features.create_features(cleaning.clean_reviews(raw)), target)
     return spark.read.parquet(target)
 
@@ -42,6 +46,6 @@ def train(df: DataFrame, estimators: dict | None = None, target: int = sampling.
 
 def answer(scored: DataFrame, prediction: str = "p") -> DataFrame:
     """Triage every review and grade its reply; no row cap."""
-    triaged = triage.triage(scored, prediction)
+    triaged = triage.triage(scored.drop("sentiment"), prediction)  # the label by rating gives way to the triaged one
     kept = triaged.select("review_id", "status", "reviewText", "sentiment", "confidence", "generated_response")
     return reply_quality.score_replies(kept)

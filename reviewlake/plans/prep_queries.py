@@ -48,8 +48,8 @@ def typed_frame(spark: SparkSession, folder: str) -> DataFrame:
 def scan_reviews(spark, folder):
     path = scratch_dir(spark, "scan")
     raw = _raw(spark, folder)
-    sinks.write_csv(raw, path)
-    return readers.read_reviews_csv(spark, path, raw.columns).withColumn("review_id", F.col("review_id").cast("long"))
+    sinks.write_csv(raw, path, escape_breaks=True)
+    return readers.read_reviews_csv(spark, path, raw.columns, multi_line=False, escaped_breaks=True).withColumn("review_id", F.col("review_id").cast("long"))
 
 
 def required_columns(spark, folder):
@@ -91,8 +91,8 @@ def review_pages_flatten(spark, folder):
 def csv_roundtrip(spark, folder):
     path = scratch_dir(spark, "csv")
     clean = clean_frame(spark, folder)
-    sinks.write_csv(clean, path)
-    back = readers.read_reviews_csv(spark, path, clean.columns)
+    sinks.write_csv(clean, path, escape_breaks=True)
+    back = readers.read_reviews_csv(spark, path, clean.columns, multi_line=False, escaped_breaks=True)
     return back.select(*[F.col(c).cast(t).alias(c) for c, t in clean.dtypes])
 
 

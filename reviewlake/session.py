@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,17 +28,25 @@ def build_session(app: str = "reviewlake", master: str | None = None, partitions
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's `spark.checkpoint.dir`.
+@lru_cache(maxsize=1)
+def _own_folder() -> tempfile.TemporaryDirectory:
+    """The folder of a local session without a shared one; it goes when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="reviewlake-", ignore_cleanup_errors=True)
 
-    Only where that is unset, as in a local test, a temporary folder is made.
-    """
+
+def scratch_root(spark: SparkSession) -> str:
+    """The cluster's `spark.checkpoint.dir`. Only a session whose driver and executors are one process may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="reviewlake-")
-    return f"{root.rstrip('/')}/reviewlake-{name}-{uuid.uuid4().hex[:12]}"
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return _own_folder().name
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under `scratch_root`."""
+    return f"{scratch_root(spark)}/reviewlake-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +54,8 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
     For frames that several branches of one report read: the work behind them
     runs once, later reads prune columns, and a lost executor costs no rework.
+    For small tables it also tells the planner their size, so that it picks a
+    broadcast under its own limit and leaves the large side where it is.
     """
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)

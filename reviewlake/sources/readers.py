@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,13 +31,22 @@ def read_reviews_csv(
     path: str,
     columns: Sequence[str] = lx.REVIEW_COLUMNS,
     na_tokens: Sequence[str] = (),
-    multi_line: bool = True,
+    *,
+    multi_line: bool,
+    escaped_breaks: bool = False,
 ) -> DataFrame:
     """CSV with a header, every column a string; `na_tokens` are read as null.
 
-    Texts may hold line breaks, and then a file is one split; pass
-    `multi_line=False` for files without them, so that large files split.
+    Files whose quoted texts hold line breaks need `multi_line=True`, and then
+    a file is one split. Without it files split anywhere; a line with an open
+    quote stops the read, so that no row is cut silently. `escaped_breaks`
+    reads what `sinks.write_csv(escape_breaks=True)` wrote.
     """
+    if not multi_line:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        torn = spark.read.text(path).filter(quotes % 2 == 1).limit(1).collect()
+        if torn:
+            raise ValueError(f"a quoted text goes over several lines, read with multi_line=True: {torn[0].value[:80]!r}")
     df = (
         spark.read.schema(string_schema(columns))
         .option("header", True)
@@ -47,9 +56,33 @@ def read_reviews_csv(
         .option("nullValue", "\0")  # an absent value is null, a quoted empty one is ''
         .csv(path)
     )
+    if escaped_breaks:
+        df = df.select(*[unescaped(F.col(c)).alias(c) for c in df.columns])
     return nullify(df, na_tokens) if na_tokens else df
 
 
+#: Characters that a line of a file cannot hold as they are, and what stands for them after a backslash.
+BREAKS = {"\n": "n", "\r": "r", "\0": "0"}
+
+
+def escaped(text: Column) -> Column:
+    """Backslashes doubled, line breaks and NUL as a backslash and a letter."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for char, letter in BREAKS.items():
+        out = F.replace(out, F.lit(char), F.lit("\\" + letter))
+    return out
+
+
+def unescaped(text: Column) -> Column:
+    """The inverse of `escaped`: doubled backslashes step aside as NUL, which an escaped text cannot hold."""
+    out = F.replace(text, F.lit("\\\\"), F.lit("\0"))
+    for char, letter in BREAKS.items():
+        if char != "\0":
+            out = F.replace(out, F.lit("\\" + letter), F.lit(char))
+    zero = F.split(out, r"\\0", -1)
+    return F.array_join(F.transform(zero, lambda part: F.replace(part, F.lit("\0"), F.lit("\\"))), "\0")
+
+
 def nullify(df: DataFrame, tokens: Sequence[str] = lx.NA_TOKENS) -> DataFrame:
     """Read the given tokens as missing in every string column."""
     return df.select(*[
@@ -68,15 +101,24 @@ def read_reviews_json(
     return spark.read.schema(string_schema(columns)).option("multiLine", array_file).json(path)
 
 
-def acquire(spark: SparkSession, path: str, source: str = "local") -> DataFrame:
-    """Reviews of a named source: `local` (CSV), `json`, or `parquet`."""
+def acquire(spark: SparkSession, path: str, source: str = "local", *, multi_line: bool, id_column: str | None = None) -> DataFrame:
+    """Reviews of a named source, `local` (CSV), `json`, or `parquet`, with a `review_id`; NA tokens are null in each.
+
+    The id is the given column, or a number per row that is unique in this read.
+    Write the result once (as `daily_run.prepare` does): from then on it is fixed.
+    """
+    columns = [*lx.REVIEW_COLUMNS, *([id_column] if id_column and id_column not in lx.REVIEW_COLUMNS else [])]
     if source == "local":
-        return read_reviews_csv(spark, path, na_tokens=lx.NA_TOKENS)
-    if source == "json":
-        return read_reviews_json(spark, path)
-    if source == "parquet":
-        return spark.read.parquet(path)
-    raise ValueError(f"unknown source: {source}")
+        raw = read_reviews_csv(spark, path, columns, multi_line=multi_line)
+    elif source == "json":
+        raw = read_reviews_json(spark, path, columns, array_file=multi_line)
+    elif source == "parquet":
+        raw = spark.read.parquet(path)
+    else:
+        raise ValueError(f"unknown source: {source}")
+    own = F.monotonically_increasing_id() if id_column is None else F.col(id_column).cast("long")
+    rows = raw.withColumn("__id", own)
+    return nullify(rows.drop("review_id")).withColumnRenamed("__id", "review_id")
 
 
 def column_presence(df: DataFrame, required: Sequence[str] = lx.REQUIRED_COLUMNS) -> DataFrame:

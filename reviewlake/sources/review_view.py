@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reviewlake.functions import lexicons as lx
 from reviewlake.functions.text import strings
 from reviewlake.sources import phrases as ph
-from reviewlake.sources.tables import fill_cores, table
+from reviewlake.sources.tables import table
 
 COPY_OFFSET = 1_000_000_000
 DOCUMENT_OFFSET = 2_000_000_000
@@ -46,7 +46,7 @@ def _order_text(key: Column, rating: Column) -> Column:
 
 def _order_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """Defect-free reviews of the orders; `id` is the order key, `k` drives ratings."""
-    orders = fill_cores(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey")
     nation = table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = table(spark, folder, "region").select("r_regionkey", "r_name")
@@ -73,7 +73,7 @@ def _order_reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 def _document_reviews(spark: SparkSession, folder: str) -> DataFrame:
     doc = F.col("doc_id")
-    documents = fill_cores(table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     keyed = documents.withColumn(
         "k", F.pmod(doc * 7919 + F.col("n_chars") * 104729, F.lit(1000))
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlake.sources.readers import escaped
+
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("errorifexists")
@@ -13,11 +15,14 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     writer.parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, rows_per_file: int = 2_000_000) -> None:
+def write_csv(df: DataFrame, path: str, rows_per_file: int = 2_000_000, escape_breaks: bool = False) -> None:
     """CSV with a header and no row index. Blanks are kept, null and '' stay apart.
 
-    Files are capped because one with quoted line breaks cannot be split on reading.
+    A file with quoted line breaks cannot be split on reading, so the rows of a
+    file are bounded; with `escape_breaks` a record is one line and files split.
     """
+    if escape_breaks:
+        df = df.select(*[escaped(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
     (
         df.write.mode("errorifexists")
         .option("header", True)

@@ -4,20 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
-
-def fill_cores(df: DataFrame) -> DataFrame:
-    """Redistribute an input too small to give every core a scan split.
-
-    Text work is bound by CPU, so one small file must not leave all but one
-    core idle. The size is read from the plan; an input of a split per core or
-    more, as every large one is, is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df

@@ -67,7 +67,7 @@ def test_missing_columns_are_named(raw):
 
 def test_unknown_source(spark):
     with pytest.raises(ValueError, match="unknown source"):
-        readers.acquire(spark, "x", "carrier pigeon")
+        readers.acquire(spark, "x", "carrier pigeon", multi_line=False)
 
 
 def test_training_rows(raw):
@@ -84,7 +84,7 @@ def test_csv_keeps_null_empty_and_line_breaks(spark):
     df = spark.createDataFrame([("a\n\"b\",c",), ("",), (None,), ("  x ",), ("NA",)], "reviewText string")
     path = scratch_dir(spark, "test")
     sinks.write_csv(df.coalesce(1).withColumn("k", F.lit("k")), path)
-    back = readers.read_reviews_csv(spark, path, ["reviewText", "k"])
+    back = readers.read_reviews_csv(spark, path, ["reviewText", "k"], multi_line=True)
     assert sorted(r[0] or str(r[0]) for r in rows(back, "reviewText")) == sorted(["a\n\"b\",c", "", "None", "  x ", "NA"])
     assert readers.nullify(back).filter("reviewText IS NULL").count() == 3
 

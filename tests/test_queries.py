@@ -8,13 +8,14 @@ import pytest
 
 from compare import compare, connect
 from conftest import DATA
+from reviewlake.plans import catalog
 
 SOME = (
     "clean_reviews clean_text features validation_gate anomaly_report anom_iqr bias_report balance_classes "
     "stratified_split ovr_auc fairness_report critical_keywords aspect_sentiment triage reply_tone quality_batch "
     "running_confidence review_pages_flatten"
 ).split()
-KEYS = sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else SOME
+KEYS = sorted(catalog.oracle_sql()) if os.environ.get("ALL_QUERIES") else SOME
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +24,7 @@ def con():
 
 
 def test_every_query_is_known():
-    assert len(entry.queries()) == 132
+    assert len(catalog.queries()) == 132 and set(catalog.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
