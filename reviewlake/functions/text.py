@@ -77,7 +77,7 @@ def word_runs(text_lc: Column) -> Column:
 
 def plain_words(text_lc: Column) -> Column:
     """Distinct whole words made of at least four letters a-z."""
-    return F.array_distinct(F.filter(word_runs(text_lc), lambda w: w.rlike("^[a-z]{4,}$")))
+    return F.array_distinct(F.regexp_extract_all(text_lc, F.lit(r"(?<![\p{L}\p{N}_])([a-z]{4,})(?![\p{L}\p{N}_])"), 1))
 
 
 def clean_text(text: Column) -> Column:

@@ -116,9 +116,7 @@ def score_replies(df: DataFrame, reply: str = "generated_response", review: str
         .withColumn("__pos", F.coalesce(F.col(label).isin(*lx.POSITIVE_LABELS), F.lit(False)))
         .withColumn("__neg", F.coalesce(F.col(label).isin(*lx.NEGATIVE_LABELS), F.lit(False)))
     )
-    staged = staged.withColumn(
-        "__reply_words", F.array_distinct(F.filter("__words", lambda w: w.rlike("^[a-z]{4,}$")))
-    )
+    staged = staged.withColumn("__reply_words", tx.plain_words(F.col("__lc")))
     filled = r.isNotNull() & (r != "")
     lc, n, pos, neg = F.col("__lc"), F.col("__n"), F.col("__pos"), F.col("__neg")
     raw = {

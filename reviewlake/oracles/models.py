@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from reviewlake.functions import lexicons as lx
+from reviewlake.operators.models import MAX_TERMS
 from reviewlake.oracles.base import cte, sql_list, with_ctes
+from reviewlake.plans.model_queries import ROWS_PER_RATING
 
 
 def key(row_id: str, seed: int) -> str:
@@ -101,7 +103,47 @@ REPORT = "\nUNION ALL ".join([
     "SELECT 'recommendations', NULL, priority, NULL, NULL, issue || ': ' || suggestion FROM advice_v",
 ])
 
+# Training rows: split, then ROWS_PER_RATING draws per class of the training part.
+cte("split_v", """SELECT review_id, "reviewRating", k, CASE WHEN rank <= t THEN 'test' WHEN rank <= t + (n - t + 4) // 8 THEN 'val' ELSE 'train' END AS split
+  FROM (SELECT *, (n * 2 + 5) // 10 AS t FROM ranked_v)""")
+cte("pool_v", """SELECT review_id, "reviewRating", row_number() OVER (PARTITION BY "reviewRating" ORDER BY k, review_id) AS rank,
+  count(*) OVER (PARTITION BY "reviewRating") AS n FROM split_v WHERE split = 'train'""")
+cte("drawn_v", f"""
+SELECT review_id, "reviewRating", rank AS draw FROM pool_v WHERE n >= {ROWS_PER_RATING} AND rank <= {ROWS_PER_RATING}
+UNION ALL
+SELECT review_id, "reviewRating", d FROM pool_v, (SELECT unnest(generate_series(1, {ROWS_PER_RATING})) AS d) t
+WHERE n < {ROWS_PER_RATING} AND rank = (d * 7919 + 42) % n + 1""")
+cte("word_v", r"""
+SELECT i, split, y, regexp_extract_all(lower("reviewText"), '\w\w+') AS w FROM (
+  SELECT row_number() OVER (ORDER BY split, review_id, draw) AS i, * FROM (
+    SELECT 'train' AS split, review_id, "reviewRating" AS y, draw FROM drawn_v
+    UNION ALL SELECT split, review_id, "reviewRating", 1 FROM split_v WHERE split = 'val') JOIN reviews_v USING (review_id))""")
+cte("term_v", """
+SELECT i, split, y, t, count(*) AS tf FROM (
+  SELECT i, split, y, unnest(list_concat(w,
+    list_transform(range(1, greatest(len(w), 1)), lambda k: w[k] || ' ' || w[k + 1]),
+    list_transform(range(1, greatest(len(w) - 1, 1)), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]))) AS t FROM word_v) GROUP BY ALL""")
+cte("vocabulary_v", f"""
+SELECT row_number() OVER (ORDER BY uses DESC, t) - 1 AS position, t, ln((n + 1)::DOUBLE / (docs + 1)) AS idf FROM (
+  SELECT t, sum(tf) AS uses, count(*) AS docs, (SELECT count(*) FROM word_v WHERE split = 'train') AS n FROM term_v WHERE split = 'train' GROUP BY 1)
+WHERE docs >= 2 AND docs <= 0.95::DOUBLE * n ORDER BY uses DESC, t LIMIT {MAX_TERMS}""")
+cte("vector_v", """
+SELECT i, split, y, t, x / sqrt(sum(x * x) OVER (PARTITION BY i)) AS x FROM (
+  SELECT i, split, y, t, tf * idf AS x FROM term_v JOIN vocabulary_v USING (t)) WHERE x > 0""")
+cte("theta_v", """
+SELECT c, t, ln(coalesce(s, 0) + 0.1::DOUBLE) - ln(sum(coalesce(s, 0)) OVER (PARTITION BY c) + 0.1::DOUBLE * count(*) OVER (PARTITION BY c)) AS theta
+FROM (SELECT c, t FROM vocabulary_v, (SELECT DISTINCT "reviewRating" AS c FROM drawn_v))
+LEFT JOIN (SELECT y AS c, t, sum(x) AS s FROM vector_v WHERE split = 'train' GROUP BY ALL) USING (c, t)""")
+cte("bayes_v", """
+SELECT w.i, w.split, w.y, arg_max(c, [prior + coalesce(s, 0), -c]) AS p FROM word_v w
+CROSS JOIN (SELECT "reviewRating" AS c, ln(count(*) + 0.1::DOUBLE) AS prior FROM drawn_v GROUP BY 1)
+LEFT JOIN (SELECT i, c, sum(x * theta) AS s FROM vector_v JOIN theta_v USING (t) GROUP BY ALL) USING (i, c) GROUP BY ALL""")
+
 SQL = {
+    "tfidf_terms": "SELECT position::INT AS position, t AS term, idf FROM vocabulary_v",
+    "train_nb": "\nUNION ALL ".join(
+        f"SELECT 'MultinomialNB' AS model, '{s}' AS split, * FROM ({weighted(f"(SELECT y, p FROM bayes_v WHERE split = '{s}')")})" for s in ("train", "val")
+    ),
     "balance_classes": f"""SELECT *, ({key('review_id', 43)} + draw * 104729) % 2147483647 AS shuffle_key FROM (
         SELECT review_id, "reviewRating", rank AS draw FROM ranked_v WHERE n >= 900 AND rank <= 900
         UNION ALL

@@ -129,6 +129,8 @@ GROUP BY 1, 2, 3
 
 clause_ctes("s", "lower_s")
 clause_ctes("i", "lower_i")
+cte("lower_r", 'SELECT *, lower("reviewText") AS lc FROM reviews_v')
+clause_ctes("r", "lower_r")
 for _s in "si":
     cte(f"analysed_{_s}", f"""
 SELECT l.*, p.pos, p.neg, p.neu, p.men, p.has_conflict, p.dominant_aspect, p.priority_aspects, p.pattern, p.aspect_overall,
@@ -280,6 +282,10 @@ def arr(column: str) -> str:
 
 
 SQL = {
+    "scorer_plugin": """SELECT review_id, CASE WHEN s > 0.1::DOUBLE THEN 'positive' WHEN s < -0.1::DOUBLE THEN 'negative' ELSE 'neutral' END AS label,
+        least(t / 5.0::DOUBLE, 1.0::DOUBLE) AS confidence,
+        '{"positive":' || ((1 + s) / 2)::VARCHAR || ',"negative":' || ((1 - s) / 2)::VARCHAR || '}' AS probabilities
+        FROM (SELECT review_id, sum(pw + nw) AS t, coalesce((sum(pw) - sum(nw))::DOUBLE / nullif(sum(pw + nw), 0), 0) AS s FROM score_r GROUP BY 1)""",
     "critical_keywords": "SELECT review_id, category, array_to_string(kw, '|') AS matched_keywords, severity, action FROM issue_s",
     "critical_severity": "SELECT review_id, severity FROM label_s",
     "critical_actions": "SELECT review_id, coalesce(actions, '') AS actions_required FROM label_s",
