@@ -133,6 +133,18 @@ class Rolling:
         return splitmix((self.prefix[k:] - self.prefix[: n + 1 - k]) * self.inverse[: n + 1 - k]) if n >= k else np.zeros(0, U64)
 
 
+def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """`Rolling.names` of sorted spans that do not overlap, `step` bytes of data at a time to bound memory."""
+    out = np.empty(len(starts), U64)
+    lo = 0
+    while lo < len(starts):
+        at = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(starts, at + step)))
+        out[lo:hi] = Rolling(data[at : int(ends[hi - 1])]).names(starts[lo:hi] - at, ends[lo:hi] - at)
+        lo = hi
+    return out
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and document number of the maximal runs of bytes marked `inside`; a document's border ends a run."""
     n = len(inside)
