@@ -19,7 +19,7 @@ from reviewlake.session import settled
 SAMPLE_IDS = 10
 Z_LIMIT = 3.0
 SHORT_TEXT = 10
-TEMPLATE_TEXT = 50
+TEMPLATE_TEXT = validation.SHORT_PART
 TEMPLATE_REPEATS = 5
 TEMPLATE_EXAMPLES = 5
 DOMINANT_SHARE = 0.8
@@ -79,8 +79,8 @@ def duplicates(df: DataFrame) -> DataFrame:
     digests = settled(df.select(
         ID,
         F.explode(F.array(
-            F.struct(F.lit("exact").alias("kind"), ds.row_digest(validation.data_columns(df)).alias("key")),
-            F.struct(F.lit("text").alias("kind"), ds.row_digest(["reviewText"]).alias("key")),
+            F.struct(F.lit("exact").alias("kind"), validation.row_key(df).alias("key")),
+            F.struct(F.lit("text").alias("kind"), validation.text_key(df).alias("key")),
         )).alias("d"),
     ).select(ID, "d.kind", "d.key"), "digests")
     groups = digests.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))

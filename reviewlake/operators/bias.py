@@ -13,6 +13,7 @@ POSITIVE_SHARE = 0.7
 NEGATIVE_SHARE = 0.5
 SHORT_TEXT = 20
 LONG_QUANTILE = 0.9
+COLUMNS = ("reviewRating", "text_length", "sentiment", "placeName", "reviewDate")  # all that the combined report reads
 
 
 def r6(column: Column) -> Column:

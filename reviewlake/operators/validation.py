@@ -12,11 +12,13 @@ from reviewlake.functions.distributed import row_digest
 
 EXPECTED_TYPES = {"reviewRating": "int", "reviewText": "string"}
 MAX_EXACT_DUPLICATES = 5
+ROW_KEY, TEXT_KEY = "__row", "__text"
+SHORT_PART = 50  # characters of a text that a slim frame keeps
 
 
 def data_columns(df: DataFrame) -> list[str]:
     """All columns but the row id, which the file does not carry."""
-    return [c for c in df.columns if c != "review_id"]
+    return [c for c in df.columns if c not in ("review_id", ROW_KEY, TEXT_KEY)]
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -60,6 +62,24 @@ def check_lengths(df: DataFrame) -> DataFrame:
     )
 
 
+def row_key(df: DataFrame) -> Column:
+    return F.col(ROW_KEY) if ROW_KEY in df.columns else row_digest(data_columns(df))
+
+
+def text_key(df: DataFrame) -> Column:
+    return F.col(TEXT_KEY) if TEXT_KEY in df.columns else row_digest(["reviewText"])
+
+
+def slim(df: DataFrame) -> DataFrame:
+    """The frame without its texts, for reports that are worth writing down.
+
+    Digests of row and text are taken first; of the text the beginning stays,
+    long enough to tell short texts apart and to see whether there is one.
+    """
+    keyed = df.select("*", row_digest(data_columns(df)).alias(ROW_KEY), row_digest(["reviewText"]).alias(TEXT_KEY))
+    return keyed.withColumn("reviewText", F.substring("reviewText", 1, SHORT_PART))
+
+
 def missing_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows (column, missing_count, missing_percentage, is_critical) from one aggregate."""
     columns = list(columns or data_columns(df))
@@ -83,9 +103,9 @@ def duplicate_report(df: DataFrame) -> DataFrame:
     do not travel, and hot groups of copies shrink to one partial count per
     task. Without texts their count is 0.
     """
-    keys = [F.struct(F.lit("exact_duplicates").alias("kind"), row_digest(data_columns(df)).alias("key"))]
+    keys = [F.struct(F.lit("exact_duplicates").alias("kind"), row_key(df).alias("key"))]
     if "reviewText" in df.columns:
-        keys.append(F.struct(F.lit("duplicate_texts").alias("kind"), row_digest(["reviewText"]).alias("key")))
+        keys.append(F.struct(F.lit("duplicate_texts").alias("kind"), text_key(df).alias("key")))
     groups = df.select(F.explode(F.array(*keys)).alias("d")).groupBy("d.kind", "d.key").agg(F.count(F.lit(1)).alias("n"))
     found = groups.agg(*[
         F.coalesce(F.sum(F.when((F.col("kind") == k) & (F.col("n") > 1), F.col("n"))), F.lit(0)).alias(k)

@@ -32,9 +32,9 @@ def feature_frame(spark: SparkSession, folder: str) -> DataFrame:
     return features.create_features(clean_frame(spark, folder))
 
 
-def feature_store(spark: SparkSession, folder: str) -> DataFrame:
-    """The feature table, written once for reports that read it several times."""
-    return settled(feature_frame(spark, folder), "features")
+def feature_store(spark: SparkSession, folder: str, pick=validation.slim) -> DataFrame:
+    """What a report needs of the feature table, never whole texts, written once because it is read several times."""
+    return settled(pick(feature_frame(spark, folder)), "features")
 
 
 def typed_frame(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,7 +231,7 @@ def anom_missing(spark, folder):
 
 
 def anom_zscore(spark, folder):
-    return anomaly.z_scores(feature_store(spark, folder))
+    return anomaly.z_scores(feature_store(spark, folder, lambda df: df.select("review_id", *anomaly.numeric_columns(df))))
 
 
 def anom_dates(spark, folder):
@@ -249,7 +249,7 @@ def anom_dominance(spark, folder):
 
 
 def anomaly_report(spark, folder):
-    return anomaly.anomaly_report(settled(typed_frame(spark, folder), "typed"), AS_OF)
+    return anomaly.anomaly_report(settled(validation.slim(typed_frame(spark, folder)), "typed"), AS_OF)
 
 
 def anom_iqr(spark, folder):
@@ -276,7 +276,7 @@ def rating_bias_verdict(spark, folder):
 
 
 def category_bias(spark, folder):
-    df = settled(features.add_label(clean_frame(spark, folder)), "labelled")
+    df = settled(features.add_label(clean_frame(spark, folder)).select("sentiment", "placeName", "reviewRating"), "labelled")
     return bias.by_category(df, "sentiment").unionByName(bias.by_category(df, "placeName"))
 
 
@@ -295,7 +295,7 @@ def length_bias(spark, folder):
 
 
 def bias_report(spark, folder):
-    return bias.bias_report(feature_store(spark, folder))
+    return bias.bias_report(feature_store(spark, folder, lambda df: df.select(*bias.COLUMNS)))
 
 
 QUERIES = {

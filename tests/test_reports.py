@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import DATA
+
 from reviewlake.functions import distributed as ds
 from reviewlake.operators import anomaly, bias, features, validation
 
@@ -127,3 +129,35 @@ def test_hot_group_totals_are_exact(spark):
     df = spark.range(3000).select(F.lit("all").alias("g"), F.col("id").alias("k"), F.lit(1).cast("long").alias("v"))
     got = ds.running_totals(ds.with_bucket(df, F.col("k"), 50), ["g"], ["k"], ["v"]).toPandas()
     assert (got["cum_v"] == got["k"] + 1).all()
+
+
+def test_settled_frames_of_reports_hold_no_texts(spark, monkeypatch):
+    from reviewlake.plans import prep_queries
+
+    kept = []
+    keep = prep_queries.settled
+    monkeypatch.setattr(prep_queries, "settled", lambda df, name: kept.append(keep(df, name)) or kept[-1])
+    for query in ("validation_gate", "anom_zscore", "anomaly_report", "bias_report"):
+        prep_queries.QUERIES[query](spark, DATA)
+    assert len(kept) == 4
+    for df in kept:
+        assert "reviewText" not in df.columns or df.filter(F.length("reviewText") > 50).isEmpty()
+
+
+def test_place_means_leave_the_rows_where_they_are(spark):
+    from reviewlake.operators import features
+
+    df = spark.range(1000).selectExpr("id AS review_id", "concat('p', id % 7) AS placeName", "CAST(id % 5 AS INT) AS reviewRating", "repeat('x', 500) AS reviewText")
+    plan = features.add_place_average(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(placeName" not in plan
+
+
+def test_exact_duplicates_keep_the_first_and_move_no_text(spark):
+    from reviewlake.operators import cleaning
+
+    rows = [(3, "a", "t"), (1, "a", "t"), (2, "a", None), (9, "a", None), (5, None, "t"), (4, "b", "t")]
+    df = spark.createDataFrame(rows, "review_id long, placeName string, reviewText string")
+    got = cleaning.drop_exact_duplicates(df, ["placeName", "reviewText"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.filter("review_id IN (1, 2, 5, 4)").select("placeName", "reviewText").collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
