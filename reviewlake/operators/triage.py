@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlake.functions import lexicons as lx
 from reviewlake.functions.distributed import pinned
 from reviewlake.functions.labels import class_label, polarity, rating_label
+from reviewlake.functions.text import strings
 from reviewlake.operators import aspects, critical, replies, sarcasm
 
 
@@ -83,6 +85,52 @@ def flat(df: DataFrame) -> DataFrame:
     )
 
 
+RECORD_FACTS = ("placeName", "placeAddress", "provider", "authorName", "reviewRating", "reviewDate")
+
+
+def record(df: DataFrame) -> DataFrame:
+    """The whole result of a triaged frame, one row per review: its facts, status and error, whether a critical
+    issue overrode the label, the matched keywords by category, and label and score of every aspect."""
+    ok = F.col("status") == "success"
+    found = F.filter(critical.issues(F.col("text_lc")), lambda i: F.size(i["matched_keywords"]) > 0)
+    keywords = F.array_join(F.transform(found, lambda i: F.concat(i["category"], F.lit(": "), F.array_join(i["matched_keywords"], ", "))), "; ")
+    wide = {f"{a}_{part}": F.get(F.col("aspects"), F.lit(i))[part] for i, a in enumerate(lx.ASPECTS) for part in ("sentiment", "score")}
+    values = {
+        "sentiment": F.col("sentiment"), "confidence": F.col("confidence"),
+        "overridden_by_critical_issue": critical.has_issue(F.col("categories")) & (F.col("corrected_sentiment") != "terrible"),
+        "matched_keywords": keywords, **wide, "generated_response": F.col("generated_response"),
+    }
+    return df.select(
+        "review_id", *[c for c in RECORD_FACTS if c in df.columns], "status", F.when(~ok, "no review text").alias("error"),
+        *[F.when(ok, v).alias(k) for k, v in values.items()],
+    )
+
+
+def expectations(df: DataFrame) -> DataFrame:
+    """Found against expected labels per review: `expected_overall` and `expected_<aspect>` columns, null where nothing is
+    expected. A review passes if its label is as expected; mentioned aspects are counted apart."""
+    def seen(aspect: str) -> Column:
+        return F.col(f"{aspect}_sentiment").isNotNull() & (F.col(f"{aspect}_sentiment") != "not_mentioned")
+
+    expected = [a for a in lx.ASPECTS if f"expected_{a}" in df.columns]
+    right = [seen(a) & (F.col(f"{a}_sentiment") == F.coalesce(F.col(f"expected_{a}"), F.col(f"{a}_sentiment"))) for a in expected]
+    failed = F.array_compact(F.array(*[F.when(seen(a) & ~r, F.lit(a)) for a, r in zip(expected, right, strict=True)])) if expected else strings([])
+    total = lambda flags: sum((f.cast("int") for f in flags), F.lit(0))
+    return df.select(
+        "review_id", "sentiment", "expected_overall",
+        F.coalesce(F.col("sentiment") == F.coalesce("expected_overall", "sentiment"), F.lit(False)).alias("passed"),
+        total([seen(a) for a in expected]).alias("aspects_seen"), total(right).alias("aspects_right"), F.array_join(failed, "|").alias("aspects_failed"),
+    )
+
+
+def expectation_summary(checked: DataFrame) -> DataFrame:
+    """One row: reviews, passed, failed and the rate in percent with one decimal."""
+    return checked.agg(
+        F.count(F.lit(1)).alias("reviews"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"),
+        F.round(F.coalesce(F.avg(F.when(F.col("passed"), 100.0).otherwise(0.0)), F.lit(0.0)), 1).alias("success_rate"),
+    )
+
+
 def batch_score(df: DataFrame) -> DataFrame:
     """Label, confidence and reply per row; failed rows get `error`, 0 and ''."""
     ok = F.col("status") == "success"

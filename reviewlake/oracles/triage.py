@@ -7,6 +7,7 @@ from reviewlake.operators.critical import ESCALATION_NOTES
 from reviewlake.operators.replies import DEFAULT_BOOK as BOOK
 from reviewlake.oracles.base import count_hits, cte, pick, quote, rounded, sql_list, with_ctes
 from reviewlake.oracles.prep import SPACE, squeeze
+from reviewlake.plans.triage_queries import EXAMPLES
 
 POS, NEG = sql_list(lx.POSITIVE_LABELS), sql_list(lx.NEGATIVE_LABELS)
 
@@ -281,7 +282,42 @@ def arr(column: str) -> str:
     return f"array_to_string({column}, '|')"
 
 
+cte("wide_i", "SELECT review_id, " + ", ".join(
+    f"max({part}) FILTER (aspect = '{a}') AS {a}_{part}" for a in lx.ASPECTS for part in ("sentiment", "score")) + " FROM aspect_i GROUP BY 1")
+cte("found_i", "SELECT review_id, string_agg(category || ': ' || array_to_string(kw, ', '), '; ' ORDER BY o) AS found FROM issue_i GROUP BY 1")
+cte("record_i", f"""
+SELECT r.review_id, "placeName", "placeAddress", provider, "authorName", "reviewRating", "reviewDate", status,
+  CASE WHEN status <> 'success' THEN 'no review text' END AS error,
+  CASE WHEN status = 'success' THEN sentiment END AS sentiment, CASE WHEN status = 'success' THEN confidence END AS confidence,
+  CASE WHEN status = 'success' THEN n_issues > 0 AND corrected_sentiment <> 'terrible' END AS overridden_by_critical_issue,
+  CASE WHEN status = 'success' THEN coalesce(found, '') END AS matched_keywords, {", ".join(f"w.{a}_{part}" for a in lx.ASPECTS for part in ("sentiment", "score"))}
+FROM reply_i r LEFT JOIN wide_i w ON r.review_id = w.review_id LEFT JOIN found_i f ON r.review_id = f.review_id""")
+_pairs = [(f"{a}_sentiment", f"expected_{a}") for a in ("food", "service")]
+_seen = [f"({s} <> 'not_mentioned')::INT" for s, _ in _pairs]
+_right = [f"({s} <> 'not_mentioned' AND {s} = coalesce({e}, {s}))::INT" for s, e in _pairs]
+_missed = ", ".join(f"CASE WHEN {s} <> 'not_mentioned' AND {s} <> {e} THEN '{e.removeprefix('expected_')}' END" for s, e in _pairs)
+cte("expected_i", f"""
+SELECT review_id, sentiment, expected_overall, sentiment = expected_overall AS passed, {" + ".join(_seen)} AS aspects_seen,
+  {" + ".join(_right)} AS aspects_right, concat_ws('|', {_missed}) AS aspects_failed
+FROM (SELECT *, ({sql_list(lx.LABELS_AMAZING)})["reviewRating"] AS expected_overall,
+        CASE WHEN "reviewRating" >= 4 THEN 'positive' WHEN "reviewRating" <= 2 THEN 'negative' END AS expected_food, expected_food AS expected_service
+      FROM record_i WHERE status = 'success')""")
+_asked = f"""concat_ws(chr(10), 'Draft our answer to the guest below.',
+        'Context: ' || {_context}, 'Reviewer: ' || "authorName", 'Review: "' || coalesce("reviewText", '') || '"',
+        'Task: ' || {_how}, 'Answer:')"""
+_shown = ", ".join(quote(f'Example {n}\nReview: "{r}"\nSentiment: {m}\nAnswer: {a}') for n, (r, m, a) in enumerate(EXAMPLES, 1))
+
+
 SQL = {
+    "prompt_forms": f"""SELECT review_id, concat_ws(chr(10) || chr(10), {_shown}, {_asked}) AS with_examples,
+        '[INST] ' || concat_ws(chr(10), 'You answer guests of ' || coalesce("placeName", 'the house') || '.', 'Context: ' || {_context}, 'Guest: ' || "authorName",
+          'Review: "' || coalesce("reviewText", '') || '"', 'Two or three sentences; ' || {_how} || '.') || ' [/INST]' AS tagged,
+        concat_ws(chr(10), {_context}, 'Guest: ' || "authorName", 'Review: ' || coalesce("reviewText", ''), 'Our answer:') AS plain FROM label_i""",
+    "reply_tone_wide": "SELECT * FROM tone_s",
+    "triage_record": "SELECT * FROM record_i",
+    "expectation_check": "SELECT * FROM expected_i",
+    "expectation_summary": """SELECT count(*) AS reviews, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed,
+        round(coalesce(avg(CASE WHEN passed THEN 100.0::DOUBLE ELSE 0 END), 0), 1) AS success_rate FROM expected_i""",
     "scorer_plugin": """SELECT review_id, CASE WHEN s > 0.1::DOUBLE THEN 'positive' WHEN s < -0.1::DOUBLE THEN 'negative' ELSE 'neutral' END AS label,
         least(t / 5.0::DOUBLE, 1.0::DOUBLE) AS confidence,
         '{"positive":' || ((1 + s) / 2)::VARCHAR || ',"negative":' || ((1 - s) / 2)::VARCHAR || '}' AS probabilities
@@ -343,9 +379,7 @@ SQL = {
         SELECT review_id, CASE WHEN review_id % 13 = 0 THEN 'unheard of' ELSE corrected_sentiment END AS label FROM label_s)""",
     "reply_router": "SELECT review_id, route, generated_response FROM reply_i",
     "reply_tone": "SELECT * FROM tone_s",
-    "prompt_batch": f"""SELECT review_id, {_context} AS context, concat_ws(chr(10), 'Draft our answer to the guest below.',
-        'Context: ' || {_context}, 'Reviewer: ' || "authorName", 'Review: "' || coalesce("reviewText", '') || '"',
-        'Task: ' || {_how}, 'Answer:') AS prompt FROM label_i""",
+    "prompt_batch": f"SELECT review_id, {_context} AS context, {_asked} AS prompt FROM label_i",
     "reply_tidy": f"""SELECT review_id, CASE WHEN len(string_split(w, '. ')) > 4 THEN array_to_string(string_split(w, '. ')[1:4], '. ') || '.' ELSE w END AS tidy
         FROM (SELECT review_id, CASE WHEN t = '' THEN '' ELSE {_tidy} END AS w FROM (SELECT review_id, {squeeze('"reviewText"')} AS t FROM reviews_v))""",
     "reply_wrap": f"""SELECT review_id, CASE WHEN (review_id * 31) % 10 >= 3 THEN {_wraps['intro']} || ' ' || t || ' ' || {_wraps['closing']} ELSE t END AS reply

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.functions import lexicons as lx
+from reviewlake.functions.labels import rating_label
 from reviewlake.operators import aspects, critical, replies, reply_quality, runs, sarcasm, triage
 from reviewlake.session import settled
 from reviewlake.sources import review_view
@@ -236,6 +237,50 @@ def reply_wrap(spark, folder):
     return df.select(ID, replies.wrapped(replies.template(label), label, F.col(ID)).alias("reply"))
 
 
+EXAMPLES = (
+    ("The tea was warm.", "neutral", "Warm tea is a start. What else would you change?"),
+    ("Loved every plate!", "amazing", "So did we while cooking. See you."),
+)
+
+
+def prompt_forms(spark, folder):
+    """The three other prompt forms side by side."""
+    scored = triage.add_sentiment(triage.add_issues(review_view.inbox(spark, folder)))
+    label = F.col("corrected_sentiment")
+    return scored.select(
+        ID, replies.prompt_with_examples(label, EXAMPLES).alias("with_examples"), replies.prompt_tagged(label).alias("tagged"), replies.prompt_plain(label).alias("plain")
+    )
+
+
+def reply_tone_wide(spark, folder):
+    """Tone replies from one column per aspect."""
+    df = _with_aspects(spark, folder)
+    wide = df.select(ID, *[F.get(F.col("aspects"), F.lit(i))["sentiment"].alias(f"{a}_sentiment") for i, a in enumerate(lx.ASPECTS)])
+    p, n = F.col("positive_aspects"), F.col("negative_aspects")
+    return replies.aspect_lists(wide).select(ID, replies.tone_of(p, n).alias("tone"), replies.tone_reply(F.col(ID), p, n).alias("reply"))
+
+
+def triage_record(spark, folder):
+    return triage.record(_triaged(spark, folder)).drop("generated_response")
+
+
+def _expected(spark, folder):
+    """Triage records with the labels that the star rating leads one to expect."""
+    df = triage.record(_triaged(spark, folder)).filter("status = 'success'")
+    by_rating = F.when(F.col("reviewRating") >= 4, "positive").when(F.col("reviewRating") <= 2, "negative")
+    return triage.expectations(df.select(
+        "*", rating_label(F.col("reviewRating"), "amazing").alias("expected_overall"), by_rating.alias("expected_food"), by_rating.alias("expected_service")
+    ))
+
+
+def expectation_check(spark, folder):
+    return _expected(spark, folder)
+
+
+def expectation_summary(spark, folder):
+    return triage.expectation_summary(_expected(spark, folder))
+
+
 # --- reply quality ---------------------------------------------------------
 
 def _dimension(name: str):
@@ -332,6 +377,7 @@ QUERIES = {
         sarcasm_corrected, final_sentiment, clauses, aspect_mentions, clause_sentiment, scorer_signed,
         aspect_sentiment, aspects_mentioned, dominant_aspect, priority_aspects, aspect_pattern,
         aspect_mismatch, aspect_overall, response_strategy, aspect_report, aspect_agreement, batch_score,
+        prompt_forms, reply_tone_wide, triage_record, expectation_check, expectation_summary,
         reply_aspect, reply_critical, reply_template, reply_router, reply_tone, prompt_batch, reply_tidy,
         reply_wrap, quality_levels, quality_total, quality_grade, quality_batch, quality_report,
         grade_distribution, quality_extremes, improvement_areas, quality_by_label, reply_ab,

@@ -141,3 +141,23 @@ def test_quality_of_known_pairs(spark):
     # casual 1.5, no capital 1, !! 2, caps 2, brief 2
     assert got[6].professionalism_score == 1.5
     assert sum(r["count"] for r in reply_quality.grade_distribution(reply_quality.score_replies(df)).collect()) == 6
+
+
+def test_expectations_of_partly_expected_rows(spark):
+    rows = [(1, "positive", "positive", "positive", "negative", "positive", None), (2, "negative", None, "not_mentioned", "negative", "negative", "positive"),
+            (3, None, "neutral", None, None, "neutral", None)]
+    df = spark.createDataFrame(rows, "review_id long, sentiment string, expected_overall string, food_sentiment string, service_sentiment string, expected_food string, expected_service string")
+    got = triage.expectations(df)
+    assert [(r.passed, r.aspects_seen, r.aspects_right, r.aspects_failed) for r in got.orderBy("review_id").collect()] == [
+        (True, 2, 2, ""), (True, 1, 0, "service"), (False, 0, 0, "")]
+    total = triage.expectation_summary(got).first()
+    assert (total.reviews, total.passed, total.failed, total.success_rate) == (3, 2, 1, 66.7)
+    assert triage.expectation_summary(got.limit(0)).first().success_rate == 0.0
+
+
+def test_wide_aspect_columns(spark):
+    df = spark.createDataFrame([("positive", "negative", None)], "food_sentiment string, price_sentiment string, other string")
+    r = replies.aspect_lists(df).first()
+    assert (r.positive_aspects, r.negative_aspects) == (["food"], ["price"])
+    none = replies.aspect_lists(spark.createDataFrame([("x",)], "other string")).first()
+    assert (none.positive_aspects, none.negative_aspects) == ([], [])
