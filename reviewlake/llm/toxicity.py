@@ -12,8 +12,9 @@ their drift. Segment scores S are calibrated as extreme values: E = n exp(-lambd
 scores of clean training texts. Segments of E below 1 are the toxic passages; a text's evidence is the sum of their
 -ln E, turned into a probability by a logistic curve fitted on training rows.
 
-Labels are learned from at most SAMPLE training rows (those of least hash), so the lexicon and what the driver sees are
-bounded; texts of the sample are never cut. Scoring is a map over all rows without shuffle.
+Labels are learned from a sample of SAMPLE training rows, or all if there are fewer: those whose hash is below SAMPLE / rows,
+so no sort is needed and the number hardly varies. The lexicon and what the driver sees are bounded by it; texts of the
+sample are never cut, and are written out once. Scoring is a map over all rows without shuffle.
 
 Null and empty texts have no segment and the score of no evidence. Without labels of both classes no unit has weight and
 every text scores the share of toxic rows, or 0. Labels of one id are joined by their maximum; null labels are ignored.
@@ -133,8 +134,11 @@ def _roots(rate: float, pairs: list[tuple[float, float]]) -> float:
 def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> Scorer:
     """Lexicon from the sample's texts, then rate and curve from its scores. docs: doc_id, text; labels: doc_id, label."""
     chosen = labels.filter(F.col("label").isin(0, 1) & train & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    chosen = C.settled(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most `sample` short rows
+    chosen = C.settled(chosen, "labels")
+    n = chosen.count()
+    if n > sample:
+        chosen = chosen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * sample / n)))
+    rows = C.settled(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), "sample")  # about `sample` short rows
 
     def pairs(batches):
         """Distinct (unit, left neighbour) pairs of each class, by shard of the unit."""
