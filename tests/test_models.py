@@ -128,3 +128,23 @@ def test_running_confidence_matches_a_plain_loop(spark):
         assert (g.total_processed, g.successful) == (s[0], s[1])
         assert g.avg_confidence == (pytest.approx(s[2] / s[1]) if s[1] else None)
     assert len(got) == 500
+
+
+def test_every_search_space_fits_its_estimator(spark):
+    from pyspark.ml.classification import OneVsRest
+
+    for name, make in models.MODELS.items():
+        estimator = make(500)
+        inner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
+        space = models.search_space(name, 500)
+        assert len(space) == 50 and space == models.search_space(name, 500)
+        for settings in space:
+            assert all(inner.hasParam(k) for k in settings)
+            inner.copy({inner.getParam(k): v for k, v in settings.items()})
+
+
+def test_keys_mix_any_ranges_of_ids(spark):
+    """Two blocks of consecutive ids fall into the parts of a split alike."""
+    df = spark.range(2000).selectExpr("IF(id < 1000, id, id + 2000000000) AS review_id", "5 AS reviewRating")
+    got = sampling.stratified_split(df).groupBy("split").agg(F.avg((F.col("review_id") < 1000).cast("int")).alias("share")).collect()
+    assert all(abs(r.share - 0.5) < 0.1 for r in got)
