@@ -14,7 +14,8 @@ of the K least of both together that both have: an estimate of the Jaccard simil
 of up to K names. Empty (and null) texts have an empty fingerprint, of likeness 1 to each other and 0 to others.
 
 `with_next` brings each document together with its successor: rows are dealt to ranges of ids, each range also gets the
-first row of the one after it, and every text moves once. Null ids come last; of equal ids the order is by text.
+first row of the one after it, and every text moves once. There are at most MAX_RANGES ranges, so what is known of them is
+bounded; a range is sorted on disk and read as a stream, whatever its size. Null ids come last; of equal ids the order is by text.
 Repeated rows follow each other. Other columns are dropped; an empty table gives no rows.
 """
 
@@ -32,7 +33,7 @@ from reviewlake.llm import common as C
 
 LEVELS = 3
 K = 64
-RANGE_BYTES = 16 << 20
+RANGE_BYTES, MAX_RANGES = 16 << 20, 8192
 
 
 def _labels(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -114,21 +115,20 @@ def fingerprint(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
 def _ranges(docs: DataFrame, key: Column, count: int) -> tuple[list[int], list[tuple[int, int, int]]]:
     """Edges of ranges of the key, descending, and for each range that has rows: (first key, its number, number of the one before)."""
     probs = [i / count for i in range(1, count)]
-    edges = sorted(set(docs.agg(F.percentile_approx(key, F.array(*map(F.lit, probs)), F.lit(100 * count))).first()[0] or []), reverse=True) if probs else []
+    edges = sorted(set(docs.agg(F.percentile_approx(key, F.array(*map(F.lit, probs)), F.lit(10 * count))).first()[0] or []), reverse=True) if probs else []
     firsts = docs.groupBy(_range_of(key, edges).alias("r")).agg(F.max(key).alias("k")).orderBy("r").collect()
     return edges, [(x.k, x.r, firsts[j - 1].r) for j, x in enumerate(firsts)]
 
 
 def _range_of(key: Column, edges: list[int]) -> Column:
-    """How many edges are above the key, found by bisection."""
-
-    def below(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(edges[mid]), below(mid + 1, hi)).otherwise(below(lo, mid))
-
-    return below(0, len(edges))
+    """How many of the edges, which descend, are above the key: those of every step first, then those of one step."""
+    if not edges:
+        return F.lit(0)
+    step = math.isqrt(len(edges)) + 1
+    whole = F.array(*map(F.lit, edges))
+    coarse = F.size(F.filter(F.array(*map(F.lit, edges[::step])), lambda e: key < e))
+    base = F.greatest(coarse - 1, F.lit(0)) * step
+    return base + F.size(F.filter(F.slice(whole, base + 1, F.lit(step)), lambda e: key < e))
 
 
 def with_next(docs: DataFrame, each, schema: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -136,7 +136,7 @@ def with_next(docs: DataFrame, each, schema: str, range_bytes: int = RANGE_BYTES
     spark = docs.sparkSession
     least = F.lit(-(1 << 63))
     docs = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), least))
-    count = max(1, math.ceil(C.total_bytes(docs) / range_bytes))
+    count = min(MAX_RANGES, max(1, math.ceil(C.total_bytes(docs) / range_bytes)))
     edges, firsts = _ranges(docs, F.col("__key"), count)
     if not firsts:
         return spark.createDataFrame([], schema)
