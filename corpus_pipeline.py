@@ -46,19 +46,23 @@ def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return packing.pack(settled(packing.pieces(docs), "pieces"))
 
 
+def _ready(stage):
+    return lambda spark, docs, folder: stage(shipped(spark), docs, folder)
+
+
 STAGES = [
-    ("toxicity", without_toxic),
-    ("jaccard_join", one_of_each),
-    ("suffix_dedup", without_repeats),
-    ("decontamination", without_benchmark),
-    ("packing", packed),
+    ("toxicity", _ready(without_toxic)),
+    ("jaccard_join", _ready(one_of_each)),
+    ("suffix_dedup", _ready(without_repeats)),
+    ("decontamination", _ready(without_benchmark)),
+    ("packing", _ready(packed)),
 ]
 #: Tokens, fingerprints and a fitted model are beyond SQL; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(shipped(spark), folder, "documents")
+    docs = table(spark, folder, "documents")
     for name, stage in STAGES[:-1]:
         docs = settled(stage(spark, docs, folder), name)
     return STAGES[-1][1](spark, docs, folder)

@@ -111,6 +111,15 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     return got[:n]
 
 
+def shard_runs(names: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
+    """(shard, first, end) of the runs of sorted names by their highest bits; `shards` is a power of two."""
+    if not len(names):
+        return []
+    of = names >> U64(65 - shards.bit_length()) if shards > 1 else np.zeros(len(names), U64)
+    cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(names)]])
+    return [(int(of[a]), int(a), int(b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class Rolling:
     """Fingerprints of any byte range of `data`, from prefix sums of code * BASE**i mod 2**64."""
 

@@ -98,15 +98,8 @@ def _pairs(data: np.ndarray, offsets: np.ndarray, length: int):
     return first, last, i[head], o[head], np.diff(np.append(np.flatnonzero(head), len(order))), of, order[head]
 
 
-def _by_shard(names: np.ndarray, shards: int) -> np.ndarray:
-    """Cuts of sorted names into shards by their highest bits; `shards` is a power of two."""
-    edges = (np.arange(1, shards, dtype=object) * ((1 << 64) // shards)).astype(C.U64)
-    return np.concatenate([[0], np.searchsorted(names, edges), [len(names)]])
-
-
 def _payload(block: int, kind: int, names: np.ndarray, more: list[np.ndarray], shards: int) -> list[tuple]:
-    cuts = _by_shard(names, shards)
-    return [(s, block, kind, names[a:b].tobytes(), b"".join(m[a:b].tobytes() for m in more)) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+    return [(s, block, kind, names[a:b].tobytes(), b"".join(m[a:b].tobytes() for m in more)) for s, a, b in C.shard_runs(names, shards)]
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
