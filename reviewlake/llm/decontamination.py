@@ -6,7 +6,7 @@ as many words as the item has a weighted Jaccard similarity of THRESHOLD or more
 
 1. Such a window shares shingles of at least THRESHOLD of the item's weight, so only items whose shingles in the text weigh
    that much are looked at, and only windows over those shingles. Nothing that counts is left out.
-2. Every such window gets a SimHash of BITS bits from running sums of its shingles' weighted bits.
+2. Every such window gets a SimHash of BITS bits from running sums of the weighted bits of its distinct shingles.
 3. Multi-index blocks: a fingerprint within RADIUS of the item's agrees with it up to RADIUS / BLOCKS bits in at least one
    block (pigeonhole), so windows that fail in all blocks, then those beyond RADIUS, are dropped. Similarity 0.8 gives
    39 differing bits of 256 on average, with a deviation of 6; RADIUS leaves seven of them.
@@ -110,6 +110,25 @@ def _windows(places: np.ndarray, words: int, size: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(marks[:-1]) > 0)
 
 
+def _window_sums(names: np.ndarray, weights: np.ndarray, width: int) -> np.ndarray:
+    """Weighted bits of the distinct names of the `width` places from each place on."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    again = np.flatnonzero(names[order][1:] == names[order][:-1])
+    since = np.zeros(n, np.int64)  # the first window that does not hold an earlier place of the same name
+    since[order[again + 1]] = order[again] + 1
+    own, at = _bits(names) * weights[:, None], np.arange(n)
+    sums = np.zeros((n + 1, BITS), np.float32)
+    np.negative(own, out=sums[1:])
+    enter = at - width + 1
+    repeated = since > np.maximum(enter, 0)
+    sums[since[repeated]] += own[repeated]
+    later = ~repeated & (enter > 0)
+    sums[enter[later]] += own[later]
+    sums[0] += own[~repeated & (enter <= 0)].sum(0)
+    return np.cumsum(sums, axis=0, out=sums)
+
+
 def best_window(names: np.ndarray, valid: np.ndarray, places: np.ndarray, item: int, items: Items, other: float, threshold: float) -> tuple[int, float] | None:
     """Start and similarity of the best window of one text for one item; `other` weighs shingles that no item holds."""
     words, own = items.words[item], items.weight[item]
@@ -119,10 +138,9 @@ def best_window(names: np.ndarray, valid: np.ndarray, places: np.ndarray, item:
     hi = min(len(names), int(starts[-1]) + words)
     part, ok = names[lo:hi], valid[lo:hi]
     weights = np.array([own.get(x, other) for x in part.astype(np.int64).tolist()], np.float32) * ok
-    sums = np.zeros((len(part) + 1, BITS), np.float32)
-    np.cumsum(_bits(part) * weights[:, None], axis=0, out=sums[1:])
-    ends = np.minimum(starts - lo + max(1, words - step), len(part))
-    marks = np.packbits(sums[ends] - sums[starts - lo] > 0, axis=1) ^ items.marks[item]
+    width = max(1, words - step)
+    ends = np.minimum(starts - lo + width, len(part))
+    marks = np.packbits(_window_sums(part, weights, width)[starts - lo] > 0, axis=1) ^ items.marks[item]
     blocks = np.bitwise_count(marks).reshape(len(starts), BLOCKS, -1).sum(2, dtype=np.int64)
     near = (blocks.min(1) <= RADIUS // BLOCKS) & (blocks.sum(1) <= RADIUS)
     best = None

@@ -84,3 +84,26 @@ def test_decontamination_of_empty_tables(docs, spark, items):
     some = spark.createDataFrame(items, "item_id long, text string")
     assert D.matches(docs([(1, "a b c d e f")]), none).count() == 0 and D.clean(docs([(1, "a b c d e f")]), none).count() == 1
     assert D.matches(docs([]), some).count() == 0 and D.clean(docs([]), some).count() == 0
+
+
+def test_copies_of_items_with_runs_of_equal_words_are_found(docs, spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for n, times, run in ((12, 1, 10), (20, 1, 34), (6, 2, 14), (8, 1, 12), (30, 3, 9)):
+        word = lambda: f"r{rng.integers(0, 10**6)}"
+        texts.append(" ".join(" ".join([*[word() for _ in range(n)], *["_"] * run]) for _ in range(times)) + f" {word()} {word()}")
+    items = list(enumerate(texts))
+    rows = [(k, t) for k, t in items] + [(100 + k, f"some words _ _ before {t} _ _ _ and some after") for k, t in items]
+    got = sorted((r.doc_id, r.item_id, round(r.similarity, 6)) for r in D.matches(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == brute.leaks(rows, items) and {(i, j) for i, j, _ in got} >= {(k + d, k) for k, _ in items for d in (0, 100)}
+
+
+def test_window_sums_count_each_name_once():
+    rng = np.random.default_rng(9)
+    names = rng.integers(0, 6, 60).astype(np.uint64)
+    weights = (names + 1).astype(np.float32)
+    for width in (1, 4, 17, 80):
+        got = D._window_sums(names, weights, width)
+        for at in range(60):
+            x = np.unique(names[at : at + width])
+            assert np.allclose(got[at], (D._bits(x) * (x + 1)[:, None].astype(np.float32)).sum(0), atol=1e-3)
