@@ -38,11 +38,10 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text: str = "text", capac
     path = path or token_ids.default_path()
 
     def each(batches):
-        encode, _ = token_ids.encoder(path)
         for batch in C.slices(batches):
             rows: list[tuple] = []
             for j, body in enumerate(batch.column(1).to_pylist()):
-                ids = np.array([*encode.encode_ordinary(body), END_ID], "<u4")
+                ids = np.array([*token_ids.encode(path, body)[0], END_ID], "<u4")
                 stops = np.arange((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)
                 start = 0
                 for piece, stop in enumerate(stops.tolist()):

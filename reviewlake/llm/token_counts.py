@@ -49,7 +49,6 @@ def token_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     path = path or token_ids.default_path()
 
     def each(batches):
-        encode, lengths = token_ids.encoder(path)
         for batch in C.slices(batches):
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             rows = []
@@ -67,7 +66,8 @@ def token_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                     cuts = np.zeros(2, np.int64)
                     tokens = crossing = np.zeros(1, np.int64)
                 else:
-                    sizes = lengths[np.array(encode.encode_ordinary(body), np.int64)]
+                    ids, lengths = token_ids.encode(path, body)
+                    sizes = lengths[np.array(ids, np.int64)]
                     tokens, crossing = attribute(sizes, cuts, rule)
                 chars = np.searchsorted(at_char, cuts)
                 n = len(cuts) - 1

@@ -117,3 +117,22 @@ def test_fit_is_non_negative_and_close():
     assert (counts >= 0).all()
     used = sum(np.bincount(p, minlength=11) * c for p, c in zip(patterns, counts, strict=True))
     assert np.abs(used - have).max() < 0.01
+
+
+def test_operators_use_the_ids_of_the_unmodified_tokenizer(docs, corpus):
+    """Special strings and very long runs of white space included."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = lambda t: plain.encode(t or "", add_special_tokens=False).ids
+    n = token_ids.LONG_RUN
+    texts = ["<|endoftext|>", "é one<|endoftext|>two\n <|endoftext|>", "<|endoftext|", "x" + " " * 1_000_000 + "y", "\n" * n + "z", "a" + " \t" * (n // 2) + "b", "c" + "　" * (n - 1) + "d"]
+    texts += [t for _, t in corpus]
+    rows = list(enumerate(texts))
+    pieces = P.pieces(docs(rows), capacity=1 << 22).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in pieces} == {k: (len(ids(t)) + 1, zlib.crc32(np.array([*ids(t), 0], "<u4").tobytes())) for k, t in rows}
+    got = {}
+    for r in TC.token_counts(docs(rows), rule="start").collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
+    assert got == {k: len(ids(t)) for k, t in rows}
