@@ -38,7 +38,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Rejects documents with a window of similarity 0.8 or more to a benchmark item."""
-    return decontamination.clean(docs.select(*COLUMNS), table(spark, folder, "benchmark"))
+    return decontamination.clean(docs.select(*COLUMNS), table(spark, folder, "benchmark"), short_inside=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -15,6 +15,9 @@ as many words as the item has a weighted Jaccard similarity of THRESHOLD or more
 Texts are scanned in place, without a shuffle. Items come to the tasks in chunks of at most CHUNK_SHINGLES shingles; a
 larger benchmark takes more than one scan, each with items of a bounded size.
 
+With `short_inside`, as the query and the pipeline have it, items of fewer than WORDS words are looked up among all windows of
+as many words of every text; without it they match only texts that have exactly their words.
+
 Null and empty texts and items without words match nothing. A text shorter than an item is one window. Equal texts match
 equally, equal items each match. Repeated item ids count as items of their own. An empty documents or benchmark table
 gives no matches.
@@ -59,13 +62,35 @@ def shingle_rows(data: np.ndarray, offsets: np.ndarray, words: int = WORDS):
         at = first[keep]
         if not len(at):
             continue
-        mixed = np.full(len(at), C.U64(k))
-        for j in range(k):
-            mixed = C.splitmix(mixed + name[at + j])
-        out[at], valid[at] = mixed, True
+        out[at], valid[at] = _mixed(name, at, k), True
     return out, doc, valid
 
 
+def _mixed(name: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Names of the shingles of `k` words from each place on."""
+    mixed = np.full(len(at), C.U64(k))
+    for j in range(k):
+        mixed = C.splitmix(mixed + name[at + j])
+    return mixed
+
+
+def short_matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, float]]:
+    """(document, item, first word, 1.0) of the first place where a text holds an item of fewer than WORDS words."""
+    data = _LOWER[data]
+    starts, ends, doc = C.word_spans(data, offsets)
+    name = C.Rolling(data).names(starts, ends)
+    first = np.searchsorted(doc, np.arange(len(offsets)))
+    size = np.array(items.words)
+    for k in np.unique(size[size < WORDS]).tolist():
+        at = np.flatnonzero(doc[k - 1 :] == doc[: max(0, len(doc) - k + 1)])
+        place, item = items.hits(_mixed(name, at, k), np.ones(len(at), bool))
+        own = size[item] == k
+        place, item = at[place[own]], item[own]
+        _, least = np.unique(doc[place] * len(size) + item, return_index=True)  # places of an item ascend
+        for p, j in zip(place[least].tolist(), item[least].tolist(), strict=True):
+            yield int(doc[p]), j, int(p - first[doc[p]]), 1.0
+
+
 def _bits(names: np.ndarray) -> np.ndarray:
     """BITS signs of each name."""
     words = C.splitmix((names[:, None] + _PLANES[None, :]).ravel()).reshape(len(names), -1)
@@ -153,10 +178,14 @@ def best_window(names: np.ndarray, valid: np.ndarray, places: np.ndarray, item:
     return best
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, items: Items, other: float, threshold: float) -> Iterator[tuple[int, int, int, float]]:
+def scan(data: np.ndarray, offsets: np.ndarray, items: Items, other: float, threshold: float, short_inside: bool = False) -> Iterator[tuple[int, int, int, float]]:
     """(document, item, first word, similarity) of every match of a batch."""
     names, doc, valid = shingle_rows(data, offsets)
     at, item = items.hits(names, valid)
+    if short_inside and min(items.words, default=WORDS) < WORDS:
+        yield from short_matches(data, offsets, items)
+        long = np.array(items.words)[item] >= WORDS
+        at, item = at[long], item[long]
     if not len(at):
         return
     first = np.searchsorted(doc, np.arange(len(offsets)))
@@ -203,7 +232,7 @@ def item_chunks(benchmark: DataFrame, chunk: int = CHUNK_SHINGLES) -> Iterator[t
         yield Items(mine), math.log1p(items)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, short_inside: bool = False) -> DataFrame:
     """doc_id, item_id, start (word), words, similarity: the best window of every contaminated document and item."""
     slim = docs.select("doc_id", C.text_or_empty().alias("text"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, start int, words int, similarity double"
@@ -212,7 +241,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 
         def each(batches, items=items, other=other):
             for batch in C.slices(batches):
-                found = list(scan(*C.byte_view(batch.column(1)), items, other, threshold))
+                found = list(scan(*C.byte_view(batch.column(1)), items, other, threshold, short_inside))
                 if found:
                     d, j, start, similarity = zip(*found, strict=True)
                     yield pa.record_batch([
@@ -223,7 +252,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD, short_inside: bool = False) -> DataFrame:
     """The documents, all columns, that no item contaminates."""
     out = docs
     for items, other in item_chunks(benchmark):
@@ -232,7 +261,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold:
             for batch in C.slices(batches, text):
                 column = batch.column(batch.schema.get_field_index(text))
                 bad = np.zeros(batch.num_rows, bool)
-                for d, *_ in scan(*C.byte_view(column), items, other, threshold):
+                for d, *_ in scan(*C.byte_view(column), items, other, threshold, short_inside):
                     bad[d] = True
                 yield batch.filter(pa.array(~bad))
 
@@ -242,4 +271,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold:
 
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Whole `documents` against the whole `benchmark`."""
-    return matches(C.table(spark, folder, "documents"), C.table(spark, folder, "benchmark"))
+    return matches(C.table(spark, folder, "documents"), C.table(spark, folder, "benchmark"), short_inside=True)

@@ -107,3 +107,15 @@ def test_window_sums_count_each_name_once():
         for at in range(60):
             x = np.unique(names[at : at + width])
             assert np.allclose(got[at], (D._bits(x) * (x + 1)[:, None].astype(np.float32)).sum(0), atol=1e-3)
+
+
+def test_short_items_inside_longer_texts(spark, docs, tmp_path):
+    rows = [(1, "to be OR not to be"), (2, "a be"), (3, "one"), (4, "x One\ny one z w v u"), (5, "be or not"), (6, None), (7, "to be or\tnot"), (8, "or not be to"), (9, "p q r s t u v")]
+    items = [(1, "be or not"), (2, "one"), (3, "to be or not"), (4, "a be c d"), (5, "p q r s t u v"), (6, "ONE"), (7, "")]
+    expected = [(1, 1, 1), (1, 3, 0), (3, 2, 0), (3, 6, 0), (4, 2, 1), (4, 6, 1), (5, 1, 0), (7, 1, 1), (7, 3, 0), (9, 5, 0)]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = D.op7_decontamination(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id, r.start) for r in got) == expected and {r.similarity for r in got} == {1.0}
+    assert sorted(r.doc_id for r in D.clean(docs(rows), bench, short_inside=True).collect()) == [2, 6, 8]
