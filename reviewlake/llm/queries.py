@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import decontamination, fingerprints, jaccard_join, packing, pitman_yor, quality, sharding, suffix_dedup, token_counts, toxicity
+from reviewlake.llm import clustering, decontamination, fingerprints, jaccard_join, packing, pitman_yor, quality, sharding, suffix_dedup, token_counts, toxicity
 from reviewlake.llm.common import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,5 +27,6 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": _ready(sharding.op8_sharding),
     "op9_quality": _ready(quality.op9_quality),
     "op10_fingerprints": _ready(fingerprints.op10_fingerprints),
+    "op13_centroid_clustering": _ready(clustering.op13_centroid_clustering),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_centroid_clustering": clustering.oracle_sql()}
