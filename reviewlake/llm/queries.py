@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import clustering, decontamination, fingerprints, jaccard_join, packing, pii, pitman_yor, quality, sharding, suffix_dedup, token_counts, toxicity
+from reviewlake.llm import clustering, decontamination, fingerprints, jaccard_join, packing, pii, pitman_yor, prefix_trie, quality, sharding, suffix_dedup, token_counts, toxicity
 from reviewlake.llm.common import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +27,12 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": _ready(sharding.op8_sharding),
     "op9_quality": _ready(quality.op9_quality),
     "op10_fingerprints": _ready(fingerprints.op10_fingerprints),
+    "op11_prefix_trie": _ready(prefix_trie.op11_prefix_trie),
     "op12_pii": _ready(pii.op12_pii),
     "op13_centroid_clustering": _ready(clustering.op13_centroid_clustering),
 }
 ORACLES: dict[str, str] = {
+    "op11_prefix_trie": prefix_trie.oracle_sql(),
     "op12_pii": pii.oracle_sql(),
     "op13_centroid_clustering": clustering.oracle_sql(),
 }
