@@ -12,7 +12,7 @@
 
 The spans of a text come from its row alone: a pattern's matches and the pieces between them give positions by running
 sums in blocks, so many matches in one text cost no square. Patterns cannot backtrack over long runs. Corpus counts shuffle
-digests and terms, never texts: only terms that stand near mentions in `support` texts are counted in the corpus. The
+digests and terms, never texts: only terms that can still reach the threshold are counted in the corpus. The
 disclosing terms of a text are joined to it by digest; that table is written first, so that the planner knows its size
 and broadcasts it only under its own limit, and splits hot digests beyond.
 
@@ -124,23 +124,37 @@ def mentions(texts: DataFrame, reach: int = REACH) -> DataFrame:
         return F.transform(base_spans(F.col("text"), kind, reach), lambda s: F.struct(entity(kind, s["value"]).alias("entity"), s["near"].alias("near")))
 
     likely = F.col("text").rlike(r"[0-9@]")
-    each = texts.filter(likely).select(digest(F.col("text")).alias("digest"), F.explode(F.concat(*map(marks, PATTERNS))).alias("m"))
+    named = texts.filter(likely).withColumn("digest", digest(F.col("text")))  # below the explode, once for each text
+    each = named.select("digest", F.explode(F.concat(*map(marks, PATTERNS))).alias("m"))
     term = F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("m.near")))
     return each.select("digest", F.col("m.entity").alias("entity"), term.alias("term")).distinct()
 
 
 def terms_of(texts: DataFrame, name: Column, wanted: DataFrame) -> DataFrame:
     """Distinct (digest, name) of the words whose name is wanted; `wanted` has one row for each name."""
-    words = texts.select(digest(F.col("text")).alias("digest"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("term"))
+    named = texts.withColumn("digest", digest(F.col("text")))
+    words = named.select("digest", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("term"))
     return words.select("digest", name.alias("name")).join(wanted, "name").distinct()
 
 
-def _disclosure(seen: DataFrame, held: DataFrame, entities: DataFrame, texts: int) -> DataFrame:
-    """The most that each name tells of any entity; seen: (entity, name, n_et), held: (digest, name)."""
+def candidates(near: DataFrame, entities: DataFrame, texts: int, support: int, threshold: float) -> DataFrame:
+    """(entity, name, n_et, n_e) that can still reach the threshold; near: distinct (entity, name, digest).
+
+    To reach it a name may stand in n_et (N / n_e)^(1 - threshold) texts at most, and it stands in no fewer than those where
+    it is near any mention. So a common word is out before the corpus is counted, and no name that could reach it is.
+    """
+    met = near.select("name", "digest").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n_m"))
+    seen = near.groupBy("entity", "name").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
+    known = seen.join(entities, "entity").filter(F.col("n_e") < texts).join(met, "name")
+    most = F.col("n_et") * F.pow(F.lit(float(texts)) / F.col("n_e"), F.lit(1 - threshold)) * (1 + 1e-9)
+    return known.filter(F.col("n_m") <= most).select("entity", "name", "n_et", "n_e")
+
+
+def _reaching(seen: DataFrame, held: DataFrame, texts: int, threshold: float) -> DataFrame:
+    """(name, disclosure) of names that reach the threshold for some entity; held: (digest, name)."""
     spread = held.groupBy("name").agg(F.count(F.lit(1)).alias("n_t"))
     told = F.log(F.lit(float(texts)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(texts)) / F.col("n_e"))
-    known = seen.join(entities, "entity").filter(F.col("n_e") < texts).join(spread, "name")
-    return known.groupBy("name").agg(F.max(told).alias("disclosure"))
+    return seen.join(spread, "name").groupBy("name").agg(F.max(told).alias("disclosure")).filter(F.col("disclosure") >= threshold)
 
 
 def disclosing_terms(texts: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
@@ -149,15 +163,15 @@ def disclosing_terms(texts: DataFrame, support: int = SUPPORT, threshold: float
     met = C.settled(mentions(texts, reach), "mentions")
     entities = C.settled(met.filter(F.col("term").isNull()).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")), "entities")
     near = met.filter(F.col("term").isNotNull())
-    pairs = near.groupBy("entity", F.col("term").alias("name")).agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
-    pairs = C.settled(pairs, "pairs")
+    pairs = C.settled(candidates(near.withColumnRenamed("term", "name"), entities, total, support, threshold), "pairs")
     held = C.settled(terms_of(texts, F.col("term"), C.settled(pairs.select("name").distinct(), "wanted")), "held")
-    strong = C.settled(_disclosure(pairs, held, entities, total).filter(F.col("disclosure") >= threshold), "strong")
+    strong = C.settled(_reaching(pairs, held, total, threshold), "strong")
     of = F.left("term", F.lit(LETTERS))
     classes = C.settled(strong.select(F.left("name", F.lit(LETTERS)).alias("name")).distinct(), "classes")
-    wide = near.select("entity", of.alias("name"), "digest").join(classes, "name").distinct().groupBy("entity", "name").agg(F.count(F.lit(1)).alias("n_et"))
-    open_classes = _disclosure(wide.filter(F.col("n_et") >= support), terms_of(texts, of, classes), entities, total).filter(F.col("disclosure") >= threshold)
-    shut = open_classes.select(F.col("name").alias("class"), F.lit(True).alias("shut"))
+    wide = near.select("entity", of.alias("name"), "digest").join(classes, "name").distinct()
+    open_classes = C.settled(candidates(wide, entities, total, support, threshold), "classes")
+    counted = terms_of(texts, of, C.settled(open_classes.select("name").distinct(), "wanted"))
+    shut = _reaching(open_classes, counted, total, threshold).select(F.col("name").alias("class"), F.lit(True).alias("shut"))
     terms = strong.withColumn("class", F.left("name", F.lit(LETTERS))).join(shut, "class", "left")
     terms = terms.select(F.col("name").alias("term"), "disclosure", F.when(F.col("shut").isNull(), F.concat("class", F.lit("*"))).alias("general"))
     return C.settled(terms, "terms"), held.select("digest", F.col("name").alias("term"))
