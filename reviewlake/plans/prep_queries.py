@@ -46,10 +46,11 @@ def typed_frame(spark: SparkSession, folder: str) -> DataFrame:
 # --- sources ---------------------------------------------------------------
 
 def scan_reviews(spark, folder):
+    """Through CSV files whose quoted texts hold line breaks, read by byte ranges."""
     path = scratch_dir(spark, "scan")
     raw = _raw(spark, folder)
-    sinks.write_csv(raw, path, escape_breaks=True)
-    return readers.read_reviews_csv(spark, path, raw.columns, multi_line=False, escaped_breaks=True).withColumn("review_id", F.col("review_id").cast("long"))
+    sinks.write_csv(raw, path)
+    return readers.read_reviews_csv(spark, path, raw.columns, multi_line=True).withColumn("review_id", F.col("review_id").cast("long"))
 
 
 def required_columns(spark, folder):
@@ -61,10 +62,11 @@ def ingest_profile(spark, folder):
 
 
 def json_source(spark, folder):
+    """Through files of one JSON array each, read by byte ranges."""
     path = scratch_dir(spark, "json")
     raw = _raw(spark, folder)
-    sinks.write_json(raw, path)
-    return readers.read_reviews_json(spark, path, raw.columns).withColumn("review_id", F.col("review_id").cast("long"))
+    sinks.write_json_array(raw, path)
+    return readers.read_reviews_json(spark, path, raw.columns, array_file=True).withColumn("review_id", F.col("review_id").cast("long"))
 
 
 def review_pages(spark, folder, per_page: int = 20):

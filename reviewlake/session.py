@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -28,6 +29,15 @@ def build_session(app: str = "reviewlake", master: str | None = None, partitions
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let the Python workers of a local session import this package from wherever the driver has it.
+
+    On a cluster the package comes with --py-files or the cluster's image, as any library does.
+    """
+    if spark.sparkContext.master.startswith("local["):
+        spark.sparkContext.addFile(os.path.dirname(os.path.abspath(__file__)), recursive=True)
+
+
 @lru_cache(maxsize=1)
 def _own_folder() -> tempfile.TemporaryDirectory:
     """The folder of a local session without a shared one; it goes when the process ends."""

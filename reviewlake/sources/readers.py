@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlake.functions import lexicons as lx
+from reviewlake.sources import ranged
 
 
 def string_schema(columns: Sequence[str] = lx.REVIEW_COLUMNS) -> T.StructType:
@@ -37,25 +38,22 @@ def read_reviews_csv(
 ) -> DataFrame:
     """CSV with a header, every column a string; `na_tokens` are read as null.
 
-    Files whose quoted texts hold line breaks need `multi_line=True`, and then
-    a file is one split. Without it files split anywhere; a line with an open
-    quote stops the read, so that no row is cut silently. `escaped_breaks`
-    reads what `sinks.write_csv(escape_breaks=True)` wrote.
+    Files split anywhere. With `multi_line=True` quoted texts may hold line
+    breaks: records are found by byte ranges (`sources.ranged`), which reads
+    the files three times. Without it a line with an open quote stops the
+    read, so that no row is cut silently. `escaped_breaks` reads what
+    `sinks.write_csv(escape_breaks=True)` wrote.
     """
-    if not multi_line:
+    schema = string_schema(columns)
+    options = {"quote": '"', "escape": '"', "nullValue": "\0"}  # an absent value is null, a quoted empty one is ''
+    if multi_line:
+        df = ranged.read(spark, path, schema, ranged.Csv(), options)
+    else:
         quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
         torn = spark.read.text(path).filter(quotes % 2 == 1).limit(1).collect()
         if torn:
             raise ValueError(f"a quoted text goes over several lines, read with multi_line=True: {torn[0].value[:80]!r}")
-    df = (
-        spark.read.schema(string_schema(columns))
-        .option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("nullValue", "\0")  # an absent value is null, a quoted empty one is ''
-        .csv(path)
-    )
+        df = spark.read.schema(schema).option("header", True).options(**options).csv(path)
     if escaped_breaks:
         df = df.select(*[unescaped(F.col(c)).alias(c) for c in df.columns])
     return nullify(df, na_tokens) if na_tokens else df
@@ -97,8 +95,11 @@ def read_reviews_json(
     columns: Sequence[str] = lx.REVIEW_COLUMNS,
     array_file: bool = False,
 ) -> DataFrame:
-    """Line-delimited JSON, or files that hold one array each."""
-    return spark.read.schema(string_schema(columns)).option("multiLine", array_file).json(path)
+    """Line-delimited JSON, or files that hold one array each, which split anywhere too."""
+    schema = string_schema(columns)
+    if array_file:
+        return ranged.read(spark, path, schema, ranged.JsonArray())
+    return spark.read.schema(schema).json(path)
 
 
 def acquire(spark: SparkSession, path: str, source: str = "local", *, multi_line: bool, id_column: str | None = None) -> DataFrame:
