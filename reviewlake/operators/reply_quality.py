@@ -110,13 +110,14 @@ def score_replies(df: DataFrame, reply: str = "generated_response", review: str
     staged = df.withColumn("__lc", F.lower(r)).withColumn("__rl", F.lower(F.coalesce(review, F.lit(""))))
     staged = (
         staged.withColumn("__words", tx.word_runs(F.col("__lc")))
-        .withColumn("__review_words", tx.plain_words(F.col("__rl")))
         .withColumn("__signs", word_signs_of(F.col("__lc")))
         .withColumn("__n", tx.word_count(r))
         .withColumn("__pos", F.coalesce(F.col(label).isin(*lx.POSITIVE_LABELS), F.lit(False)))
         .withColumn("__neg", F.coalesce(F.col(label).isin(*lx.NEGATIVE_LABELS), F.lit(False)))
     )
-    staged = staged.withColumn("__reply_words", tx.plain_words(F.col("__lc")))
+    # For a positive label the words of reply and review are not compared.
+    staged = staged.withColumn("__reply_words", F.when(~F.col("__pos"), tx.plain_words(F.col("__lc"))))
+    staged = staged.withColumn("__review_words", F.when(~F.col("__pos"), tx.plain_words(F.col("__rl"))))
     filled = r.isNotNull() & (r != "")
     lc, n, pos, neg = F.col("__lc"), F.col("__n"), F.col("__pos"), F.col("__neg")
     raw = {
