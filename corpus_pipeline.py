@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, folder) and returns a frame; run() writes it as Parquet to the shared folder and reads it
 back as the next stage's documents. Stages see the columns of `documents` only, so other columns, of whatever name, do not
-reach them. Null texts count as empty; every stage gives an empty result for an empty table.
+reach them. Null texts count as empty; every stage gives an empty result for an empty table. Ties among near copies go to the
+smallest id; a stage's operator states what it does with very long texts and repeated rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from reviewlake.llm import decontamination, jaccard_join, packing, suffix_dedup, toxicity
 from reviewlake.llm.common import settled, shipped, table, text_or_empty
 
+#: Bytes of the repeats that go: 51 words of four letters with a blank each reach it, so every passage of over 50 words does.
+PASSAGE = 250
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -30,8 +33,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Texts without the passages of 400 bytes and more that stand elsewhere too; every document stays."""
-    cut = suffix_dedup.suffix_dedup(docs.select(*COLUMNS))
+    """Texts without the passages of `PASSAGE` bytes and more that stand elsewhere too; every document stays."""
+    cut = suffix_dedup.suffix_dedup(docs.select(*COLUMNS), length=PASSAGE)
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
     return cut.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
