@@ -22,7 +22,7 @@ def test_run_equals_brute_force(spark, docs):
     for (i, _), g in zip(rows, groups, strict=True):
         first[g] = min(i, first.get(g, i))
     rows = [(i, t) for (i, t), g in zip(rows, groups, strict=True) if first[g] == i]
-    rows = [(r[0], r[5].decode("utf-8", "ignore")) for r in brute.repeats(rows, 400)]
+    rows = [(r[0], r[5].decode("utf-8", "ignore")) for r in brute.repeats(rows, P.PASSAGE)]
     items = [(r.item_id, r.text) for r in table(spark, DATA, "benchmark").collect()]
     bad = {i for i, _, _ in brute.leaks(rows, items)}
     encode, _ = token_ids.encoder(token_ids.default_path())
@@ -49,4 +49,23 @@ def test_stages_take_effect_and_keep_columns(spark, docs):
 
 def test_registered():
     names = set(entry.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
+
+
+def test_passages_of_over_fifty_words_go(spark, docs):
+    """Fifty-one words that two otherwise different documents share, of the length of this language's words and shorter."""
+    import random
+
+    rng = random.Random(6)
+    source = [r.text.split() for r in table(spark, DATA, "documents").filter("lang = 'en' AND n_chars > 900").limit(40).collect()]
+    short = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    plain = lambda n: [rng.choice(short) + rng.choice(short) for _ in range(n)]
+    rows, passages = [], {}
+    for n, words in enumerate([*source[:20], *([rng.choice(short) for _ in range(51)] for _ in range(20))]):
+        passages[n] = " ".join(words[:51])
+        for k in (0, 1):
+            rows.append((2 * n + k, " ".join([*plain(30), passages[n], *plain(30)])))
+    frame = docs(rows).selectExpr("*", "'en' lang", "'s' source", "1L n_chars")
+    kept = {r.doc_id: r.text for r in P.without_repeats(spark, frame, DATA).collect()}
+    assert len(kept) == 80 and all(passages[i // 2] not in t for i, t in kept.items())
+    assert all(len(t) > 250 for t in kept.values())
