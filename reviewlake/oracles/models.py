@@ -127,6 +127,17 @@ cte("vocabulary_v", f"""
 SELECT row_number() OVER (ORDER BY uses DESC, t) - 1 AS position, t, ln((n + 1)::DOUBLE / (docs + 1)) AS idf FROM (
   SELECT t, sum(tf) AS uses, count(*) AS docs, (SELECT count(*) FROM word_v WHERE split = 'train') AS n FROM term_v WHERE split = 'train' GROUP BY 1)
 WHERE docs >= 2 AND docs <= 0.95::DOUBLE * n ORDER BY uses DESC, t LIMIT {MAX_TERMS}""")
+cte("whole_word_v", r"""
+SELECT s.review_id AS i, regexp_extract_all(lower("reviewText"), '\w\w+') AS w FROM split_v s JOIN reviews_v USING (review_id) WHERE split = 'train'""")
+cte("whole_term_v", """
+SELECT i, t, count(*) AS tf FROM (
+  SELECT i, unnest(list_concat(w,
+    list_transform(range(1, greatest(len(w), 1)), lambda k: w[k] || ' ' || w[k + 1]),
+    list_transform(range(1, greatest(len(w) - 1, 1)), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]))) AS t FROM whole_word_v) GROUP BY ALL""")
+cte("whole_vocabulary_v", f"""
+SELECT row_number() OVER (ORDER BY uses DESC, t) - 1 AS position, t, ln((n + 1)::DOUBLE / (docs + 1)) AS idf FROM (
+  SELECT t, sum(tf) AS uses, count(*) AS docs, (SELECT count(*) FROM whole_word_v) AS n FROM whole_term_v GROUP BY 1)
+WHERE docs >= 2 AND docs <= 0.95::DOUBLE * n ORDER BY uses DESC, t LIMIT {MAX_TERMS}""")
 cte("vector_v", """
 SELECT i, split, y, t, x / sqrt(sum(x * x) OVER (PARTITION BY i)) AS x FROM (
   SELECT i, split, y, t, tf * idf AS x FROM term_v JOIN vocabulary_v USING (t)) WHERE x > 0""")
@@ -140,7 +151,7 @@ CROSS JOIN (SELECT "reviewRating" AS c, ln(count(*) + 0.1::DOUBLE) AS prior FROM
 LEFT JOIN (SELECT i, c, sum(x * theta) AS s FROM vector_v JOIN theta_v USING (t) GROUP BY ALL) USING (i, c) GROUP BY ALL""")
 
 SQL = {
-    "tfidf_terms": "SELECT position::INT AS position, t AS term, idf FROM vocabulary_v",
+    "tfidf_terms": "SELECT position::INT AS position, t AS term, idf FROM whole_vocabulary_v",
     "train_nb": "\nUNION ALL ".join(
         f"SELECT 'MultinomialNB' AS model, '{s}' AS split, * FROM ({weighted(f"(SELECT y, p FROM bayes_v WHERE split = '{s}')")})" for s in ("train", "val")
     ),

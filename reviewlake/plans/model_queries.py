@@ -166,7 +166,10 @@ def _prepared(spark, folder):
 
 
 def tfidf_terms(spark, folder):
-    return models.term_table(_prepared(spark, folder)[1].features, spark)
+    """Vocabulary and weights of the whole training part; nothing is drawn."""
+    parts = sampling.stratified_split(settled(review_view.reviews(spark, folder).select(ID, "reviewText", "reviewRating"), "texts"))
+    train = settled(parts.filter("split = 'train'").select("reviewText"), "train")
+    return models.term_table(models.fit_tfidf(train), spark)
 
 
 def _trained(name: str):

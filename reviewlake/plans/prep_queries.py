@@ -43,6 +43,11 @@ def typed_frame(spark: SparkSession, folder: str) -> DataFrame:
     return features.add_text_length(typed.transform(cleaning.coerce_date))
 
 
+def slim_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed rows without their texts, written once: counts, ids and totals each read them."""
+    return settled(validation.slim(typed_frame(spark, folder)), "typed")
+
+
 # --- sources ---------------------------------------------------------------
 
 def scan_reviews(spark, folder):
@@ -221,7 +226,7 @@ def anom_duplicates(spark, folder):
 
 
 def anom_short(spark, folder):
-    return anomaly.short_texts(typed_frame(spark, folder))
+    return anomaly.short_texts(slim_typed(spark, folder))
 
 
 def anom_templates(spark, folder):
@@ -229,7 +234,7 @@ def anom_templates(spark, folder):
 
 
 def anom_missing(spark, folder):
-    return anomaly.missing(typed_frame(spark, folder))
+    return anomaly.missing(slim_typed(spark, folder))
 
 
 def anom_zscore(spark, folder):
@@ -237,11 +242,11 @@ def anom_zscore(spark, folder):
 
 
 def anom_dates(spark, folder):
-    return anomaly.dates(typed_frame(spark, folder), AS_OF)
+    return anomaly.dates(slim_typed(spark, folder), AS_OF)
 
 
 def anom_ratings(spark, folder):
-    return anomaly.invalid_ratings(typed_frame(spark, folder))
+    return anomaly.invalid_ratings(slim_typed(spark, folder))
 
 
 def anom_dominance(spark, folder):
@@ -251,7 +256,7 @@ def anom_dominance(spark, folder):
 
 
 def anomaly_report(spark, folder):
-    return anomaly.anomaly_report(settled(validation.slim(typed_frame(spark, folder)), "typed"), AS_OF)
+    return anomaly.anomaly_report(slim_typed(spark, folder), AS_OF)
 
 
 def anom_iqr(spark, folder):
@@ -297,7 +302,7 @@ def length_bias(spark, folder):
 
 
 def bias_report(spark, folder):
-    return bias.bias_report(feature_store(spark, folder, lambda df: df.select(*bias.COLUMNS)))
+    return bias.bias_report(feature_frame(spark, folder).select(*bias.COLUMNS))
 
 
 QUERIES = {
