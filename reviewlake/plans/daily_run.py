@@ -9,12 +9,17 @@ from reviewlake.session import settled
 from reviewlake.sources import readers, sinks
 
 
-def prepare(spark: SparkSession, source: str, target: str, kind: str = "local", *, multi_line: bool, id_column: str | None = None) -> DataFrame:
+def prepare(
+    spark: SparkSession, source: str, target: str, kind: str = "local", *, multi_line: bool, id_column: str | None = None,
+    earlier: DataFrame | None = None,
+) -> DataFrame:
     """Raw reviews -> feature table with a `review_id`, written once as Parquet and read back.
 
-    The acquired rows are written first, so that ids are fixed before anything else reads them.
+    The acquired rows are written first, so that ids are fixed before anything else reads them. With the table of
+    `earlier` loads, ids go on after its last one.
     """
-    raw = settled(readers.acquire(spark, source, kind, multi_line=multi_line, id_column=id_column), "acquired")
+    first = readers.next_id(earlier) if earlier is not None else 0
+    raw = settled(readers.acquire(spark, source, kind, multi_line=multi_line, id_column=id_column, first_id=first), "acquired")
     sinks.write_parquet(features.create_features(cleaning.clean_reviews(raw)), target)
     return spark.read.parquet(target)
 

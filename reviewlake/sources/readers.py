@@ -102,11 +102,11 @@ def read_reviews_json(
     return spark.read.schema(schema).json(path)
 
 
-def acquire(spark: SparkSession, path: str, source: str = "local", *, multi_line: bool, id_column: str | None = None) -> DataFrame:
+def acquire(spark: SparkSession, path: str, source: str = "local", *, multi_line: bool, id_column: str | None = None, first_id: int = 0) -> DataFrame:
     """Reviews of a named source, `local` (CSV), `json`, or `parquet`, with a `review_id`; NA tokens are null in each.
 
-    The id is the given column, or a number per row that is unique in this read.
-    Write the result once (as `daily_run.prepare` does): from then on it is fixed.
+    The id is the given column, or a number per row from `first_id` on that is unique in this read (`next_id` gives the
+    first one that earlier loads have not used). Write the result once (as `daily_run.prepare` does): from then on it is fixed.
     """
     columns = [*lx.REVIEW_COLUMNS, *([id_column] if id_column and id_column not in lx.REVIEW_COLUMNS else [])]
     if source == "local":
@@ -117,11 +117,17 @@ def acquire(spark: SparkSession, path: str, source: str = "local", *, multi_line
         raw = spark.read.parquet(path)
     else:
         raise ValueError(f"unknown source: {source}")
-    own = F.monotonically_increasing_id() if id_column is None else F.col(id_column).cast("long")
+    own = F.monotonically_increasing_id() + F.lit(first_id) if id_column is None else F.col(id_column).cast("long")
     rows = raw.withColumn("__id", own)
     return nullify(rows.drop("review_id")).withColumnRenamed("__id", "review_id")
 
 
+def next_id(earlier: DataFrame) -> int:
+    """The first id above those of a table of earlier loads; 0 for an empty one."""
+    last = earlier.agg(F.max("review_id")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def column_presence(df: DataFrame, required: Sequence[str] = lx.REQUIRED_COLUMNS) -> DataFrame:
     """Rows (column, present, rows) for the required columns."""
     facts = [

@@ -65,3 +65,14 @@ def test_escaped_breaks_round_trip(spark):
     assert {int(r.x): r.y for r in back.collect()} == dict(enumerate(values))
     lines = spark.read.text(path).count()
     assert lines == len(values) + len([f for f in back.inputFiles()])
+
+
+def test_two_loads_have_ids_of_their_own(spark, raw):
+    tables = []
+    for day in (1, 2):
+        source, target = scratch_dir(spark, "raw"), scratch_dir(spark, "table")
+        sinks.write_csv(raw.withColumn("reviewDate", F.lit(f"2001-01-0{day}")), source)
+        tables.append(daily_run.prepare(spark, source, target, multi_line=True, earlier=tables[0] if tables else None))
+    both = tables[0].unionByName(tables[1])
+    assert both.select("review_id").distinct().count() == both.count() == 406
+    assert readers.next_id(both.limit(0)) == 0 and readers.next_id(tables[0]) > tables[0].agg(F.max("review_id")).first()[0]
