@@ -255,7 +255,16 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     return slim.groupBy(C.BLOCK).cogroup(classes.unionByName(prefixes).groupBy(C.BLOCK)).applyInArrow(cut, schema)
 
 
+#: Bytes of a repeat worth a mark beside the contract's: every passage of over 50 words of four letters and a blank has them.
+PASSAGE = 250
+
+
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole `documents`, strings of 400 bytes."""
+    """Whole `documents`, strings of 400 bytes; n_passage_bytes is what strings of `PASSAGE` bytes would remove."""
     docs = C.table(spark, folder, "documents").select("doc_id", "text")
-    return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    same = F.sha2(F.col("text"), 256).alias("__same")  # rows of equal id and text have equal results
+    cut = suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", same)
+    marks = suffix_dedup(docs, length=PASSAGE).select(F.col("doc_id").alias("__id"), same.alias("__text"), "n_removed")
+    marks = marks.groupBy("__id", "__text").agg(F.max("n_removed").alias("n_passage_bytes"))
+    joined = cut.join(marks, cut["doc_id"].eqNullSafe(marks["__id"]) & (cut["__same"] == marks["__text"]), "left")
+    return joined.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")

@@ -38,3 +38,16 @@ def test_kept_text_columns_and_empty(docs, corpus):
         assert row.slot == "x" and isinstance(row.n_bytes, int) and sum(s.stop - s.start for s in row.spans) == row.n_removed
     assert len(rows) == len(corpus)
     assert S.suffix_dedup(docs([])).count() == 0
+
+
+def test_query_marks_passages(spark, corpus, docs):
+    """The query's rows are those of 400 bytes, with what 250 bytes would remove beside them, ids null or repeated."""
+    from reviewlake.session import scratch_dir
+
+    folder = scratch_dir(spark, "op1")
+    docs(corpus).write.parquet(f"{folder}/documents.parquet")
+    got = S.op1_suffix_dedup(spark, folder).collect()
+    shorter = {(i, t or ""): r[2] for (i, t), r in zip(corpus, brute.repeats(corpus, S.PASSAGE), strict=True)}
+    expected = [(*r[:5], shorter[i, t or ""]) for (i, t), r in zip(corpus, brute.repeats(corpus, 400), strict=True)]
+    assert sorted(map(tuple, got), key=key) == sorted(expected, key=key)
+    assert any(r.n_passage_bytes > r.n_removed for r in got)
