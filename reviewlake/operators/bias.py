@@ -172,7 +172,8 @@ def cube(df: DataFrame) -> DataFrame:
     if "reviewDate" in df.columns:
         month = F.date_format(F.col("reviewDate").try_cast("date"), "yyyy-MM")
         marks.append(F.when(month.isNotNull(), mark("month", month)))
-    each = df.select(F.col("reviewRating").cast("double").alias("rating"), F.explode(F.array_compact(F.array(*marks))).alias("m"))
+    # The outer form is not turned into a "not empty" filter, which would derive the columns twice; "all" is always there.
+    each = df.select(F.col("reviewRating").cast("double").alias("rating"), F.explode_outer(F.array_compact(F.array(*marks))).alias("m"))
     return each.groupBy("m.dimension", "m.key", "rating").agg(F.count(F.lit(1)).alias("n"))
 
 
