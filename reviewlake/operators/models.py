@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     NaiveBayes,
     OneVsRest,
@@ -31,6 +30,7 @@ from reviewlake.functions import lexicons as lx
 from reviewlake.functions.labels import class_label
 from reviewlake.functions.text import strings
 from reviewlake.operators import metrics
+from reviewlake.operators.squared_hinge import SquaredHinge
 from reviewlake.session import settled
 
 SEED = 42
@@ -104,9 +104,9 @@ def boosting(rows: int | None = None, rounds: int = 150, depth: int = 3) -> OneV
     return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=SEED), parallelism=5)
 
 
-def linear_svc(rows: int, max_iter: int = 1500, c: float = 1.0) -> OneVsRest:
-    """As for `logistic`, the strength of C depends on the number of training rows."""
-    return OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=1.0 / (c * rows)), weightCol="weight", parallelism=5)
+def linear_svc(rows: int, max_iter: int = 1500, c: float = 1.0) -> SquaredHinge:
+    """Squared hinge, one class against the rest; as for `logistic`, the strength of C depends on the number of training rows."""
+    return SquaredHinge(maxIter=max_iter, regParam=1.0 / (c * rows), weightCol="weight")
 
 
 def bayes(rows: int | None = None, alpha: float = 0.1) -> NaiveBayes:
