@@ -12,11 +12,11 @@ as many words as the item has a weighted Jaccard similarity of THRESHOLD or more
    39 differing bits of 256 on average, with a deviation of 6; RADIUS leaves seven of them.
 4. The rest is verified exactly. The best window of each document and item is returned.
 
-Texts are scanned in place, without a shuffle. Items come to the tasks in chunks of at most CHUNK_SHINGLES shingles; a
+Texts are scanned in place, without a shuffle; windows are summed up STEP words at a time, so memory does not grow with the
+distance between the hits of an item. Items come to the tasks in chunks of at most CHUNK_SHINGLES shingles; a
 larger benchmark takes more than one scan, each with items of a bounded size.
 
-With `short_inside`, as the query and the pipeline have it, items of fewer than WORDS words are looked up among all windows of
-as many words of every text; without it they match only texts that have exactly their words.
+Items of fewer than WORDS words are looked up among all windows of as many words of every text.
 
 Null and empty texts and items without words match nothing. A text shorter than an item is one window. Equal texts match
 equally, equal items each match. Repeated item ids count as items of their own. An empty documents or benchmark table
@@ -38,6 +38,7 @@ from reviewlake.llm import common as C
 WORDS, THRESHOLD = 5, 0.8
 BITS, BLOCKS, RADIUS = 256, 16, 80
 CHUNK_SHINGLES = 1 << 20
+STEP = 4096
 SIEVE_BITS = 22
 _PLANES = C.splitmix(np.arange(1, BITS // 64 + 1, dtype=C.U64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -48,7 +49,7 @@ def shingle_rows(data: np.ndarray, offsets: np.ndarray, words: int = WORDS):
     """Shingle names by place of their first word, the document of each word, and whether a shingle begins there."""
     data = _LOWER[data]
     starts, ends, doc = C.word_spans(data, offsets)
-    name = C.Rolling(data).names(starts, ends)
+    name = C.span_names(data, starts, ends)
     n = len(name)
     out, valid = np.zeros(n, C.U64), np.zeros(n, bool)
     size = np.bincount(doc, minlength=len(offsets) - 1)
@@ -78,7 +79,7 @@ def short_matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> Iterat
     """(document, item, first word, 1.0) of the first place where a text holds an item of fewer than WORDS words."""
     data = _LOWER[data]
     starts, ends, doc = C.word_spans(data, offsets)
-    name = C.Rolling(data).names(starts, ends)
+    name = C.span_names(data, starts, ends)
     first = np.searchsorted(doc, np.arange(len(offsets)))
     size = np.array(items.words)
     for k in np.unique(size[size < WORDS]).tolist():
@@ -154,35 +155,41 @@ def _window_sums(names: np.ndarray, weights: np.ndarray, width: int) -> np.ndarr
     return np.cumsum(sums, axis=0, out=sums)
 
 
-def best_window(names: np.ndarray, valid: np.ndarray, places: np.ndarray, item: int, items: Items, other: float, threshold: float) -> tuple[int, float] | None:
-    """Start and similarity of the best window of one text for one item; `other` weighs shingles that no item holds."""
+def near_windows(names: np.ndarray, valid: np.ndarray, starts: np.ndarray, item: int, items: Items, other: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows within a stretch of a text: whether each one's fingerprint is near the item's, its end, the weights from the first start on."""
     words, own = items.words[item], items.weight[item]
-    starts = _windows(places, words, len(names))
-    step = min(WORDS, words, len(names)) - 1
     lo = int(starts[0])
-    hi = min(len(names), int(starts[-1]) + words)
-    part, ok = names[lo:hi], valid[lo:hi]
+    part, ok = names[lo : int(starts[-1]) + words], valid[lo : int(starts[-1]) + words]
     weights = np.array([own.get(x, other) for x in part.astype(np.int64).tolist()], np.float32) * ok
-    width = max(1, words - step)
-    ends = np.minimum(starts - lo + width, len(part))
+    width = max(1, words - min(WORDS, words, len(names)) + 1)
     marks = np.packbits(_window_sums(part, weights, width)[starts - lo] > 0, axis=1) ^ items.marks[item]
     blocks = np.bitwise_count(marks).reshape(len(starts), BLOCKS, -1).sum(2, dtype=np.int64)
-    near = (blocks.min(1) <= RADIUS // BLOCKS) & (blocks.sum(1) <= RADIUS)
+    return (blocks.min(1) <= RADIUS // BLOCKS) & (blocks.sum(1) <= RADIUS), np.minimum(starts + width, lo + len(part)), weights
+
+
+def best_window(names: np.ndarray, valid: np.ndarray, places: np.ndarray, item: int, items: Items, other: float, threshold: float) -> tuple[int, float] | None:
+    """Start and similarity of the best window of one text for one item; `other` weighs shingles that no item holds."""
+    own = items.weight[item]
+    starts = _windows(places, items.words[item], len(names))
     best = None
-    for start, end in zip((starts - lo)[near].tolist(), ends[near].tolist(), strict=True):
-        window = dict(zip(part[start:end][ok[start:end]].astype(np.int64).tolist(), weights[start:end][ok[start:end]].tolist(), strict=True))
-        both = sum(own[x] for x in window if x in own)
-        similarity = both / (items.total[item] + sum(own.get(x, w) for x, w in window.items()) - both)
-        if similarity >= threshold - 1e-9 and (best is None or similarity > best[1] + 1e-12):
-            best = (start + lo, similarity)
+    for some in np.split(starts, np.flatnonzero(np.diff(starts // STEP)) + 1):
+        near, ends, weights = near_windows(names, valid, some, item, items, other)
+        lo = int(some[0])
+        for start, end in zip(some[near].tolist(), ends[near].tolist(), strict=True):
+            ok = valid[start:end]
+            window = dict(zip(names[start:end][ok].astype(np.int64).tolist(), weights[start - lo : end - lo][ok].tolist(), strict=True))
+            both = sum(own[x] for x in window if x in own)
+            similarity = both / (items.total[item] + sum(own.get(x, w) for x, w in window.items()) - both)
+            if similarity >= threshold - 1e-9 and (best is None or similarity > best[1] + 1e-12):
+                best = (start, similarity)
     return best
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, items: Items, other: float, threshold: float, short_inside: bool = False) -> Iterator[tuple[int, int, int, float]]:
+def scan(data: np.ndarray, offsets: np.ndarray, items: Items, other: float, threshold: float) -> Iterator[tuple[int, int, int, float]]:
     """(document, item, first word, similarity) of every match of a batch."""
     names, doc, valid = shingle_rows(data, offsets)
     at, item = items.hits(names, valid)
-    if short_inside and min(items.words, default=WORDS) < WORDS:
+    if min(items.words, default=WORDS) < WORDS:
         yield from short_matches(data, offsets, items)
         long = np.array(items.words)[item] >= WORDS
         at, item = at[long], item[long]
@@ -232,7 +239,7 @@ def item_chunks(benchmark: DataFrame, chunk: int = CHUNK_SHINGLES) -> Iterator[t
         yield Items(mine), math.log1p(items)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, short_inside: bool = False) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, start (word), words, similarity: the best window of every contaminated document and item."""
     slim = docs.select("doc_id", C.text_or_empty().alias("text"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, start int, words int, similarity double"
@@ -241,7 +248,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
         def each(batches, items=items, other=other):
             for batch in C.slices(batches):
-                found = list(scan(*C.byte_view(batch.column(1)), items, other, threshold, short_inside))
+                found = list(scan(*C.byte_view(batch.column(1)), items, other, threshold))
                 if found:
                     d, j, start, similarity = zip(*found, strict=True)
                     yield pa.record_batch([
@@ -252,7 +259,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD, short_inside: bool = False) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, that no item contaminates."""
     out = docs
     for items, other in item_chunks(benchmark):
@@ -261,7 +268,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold:
             for batch in C.slices(batches, text):
                 column = batch.column(batch.schema.get_field_index(text))
                 bad = np.zeros(batch.num_rows, bool)
-                for d, *_ in scan(*C.byte_view(column), items, other, threshold, short_inside):
+                for d, *_ in scan(*C.byte_view(column), items, other, threshold):
                     bad[d] = True
                 yield batch.filter(pa.array(~bad))
 
@@ -271,4 +278,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold:
 
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Whole `documents` against the whole `benchmark`."""
-    return matches(C.table(spark, folder, "documents"), C.table(spark, folder, "benchmark"), short_inside=True)
+    return matches(C.table(spark, folder, "documents"), C.table(spark, folder, "benchmark"))

@@ -75,12 +75,12 @@ def leaks(rows, items, threshold=0.8):
     for i, t in rows:
         w = words(t)
         for item, own, s in items:
-            if not w or not s & set(shingles(w)):
+            if not w or not s & set(shingles(w, min(5, len(own)))):
                 continue
             best = 0
             for at in range(max(0, len(w) - len(own)) + 1):
                 window = w[at : at + len(own)]
-                x = set(shingles(window)) if len(window) >= 5 or len(w) < 5 else set()
+                x = set(shingles(window))
                 both = weigh(x & s)
                 best = max(best, both / (weigh(s) + weigh(x) - both))
             if best >= threshold - 1e-9:

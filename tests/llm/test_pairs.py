@@ -118,4 +118,73 @@ def test_short_items_inside_longer_texts(spark, docs, tmp_path):
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     got = D.op7_decontamination(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.item_id, r.start) for r in got) == expected and {r.similarity for r in got} == {1.0}
-    assert sorted(r.doc_id for r in D.clean(docs(rows), bench, short_inside=True).collect()) == [2, 6, 8]
+    assert sorted(r.doc_id for r in D.clean(docs(rows), bench).collect()) == [2, 6, 8]
+
+
+def _chunk(texts):
+    """Items of a chunk, as the tasks get them, with equal weights."""
+    rows = []
+    for j, text in enumerate(texts):
+        data = np.frombuffer(text.encode(), np.uint8)
+        names, _, valid = D.shingle_rows(data, np.array([0, len(data)]))
+        distinct = np.unique(names[valid]).astype(np.int64).tolist()
+        rows.append({"item_id": j, "words": len(names), "names": distinct, "weights": [1.0] * len(distinct)})
+    return D.Items(rows)
+
+
+def test_memory_does_not_grow_with_the_distance_of_hits():
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    word = [f"w{j}" for j in rng.integers(0, 10**6, 60)]
+    items = _chunk([" ".join(word)])
+    filler = " ".join(f"t{j}" for j in rng.integers(0, 10**7, 1_250_000))
+    half = len(filler) // 2
+    text = f"{' '.join(word[:34])} {filler[:half]} {' '.join(word)} {filler[half:]} {' '.join(word[26:])}"
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert len(data) > 10_000_000
+    tracemalloc.start()
+    got = list(D.scan(data, np.array([0, len(data)]), items, 1.0, 0.8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1 and got[0][:2] == (0, 0) and got[0][3] == pytest.approx(1.0) and got[0][2] == len(text[: text.index(" ".join(word))].split())
+    assert peak < 500 << 20
+
+
+@pytest.mark.parametrize("step", [1, 7, 64, 4096])
+def test_steps_of_windows_find_the_same(monkeypatch, step):
+    rng = np.random.default_rng(13)
+    word = [f"w{j}" for j in range(30)]
+    items = _chunk([" ".join(word), " ".join(word[5:25])])
+    parts = []
+    for _ in range(40):
+        own = list(word)
+        for j in rng.integers(0, 30, rng.integers(0, 3)):
+            own[j] = "other"
+        parts += [*own, *(f"f{j}" for j in rng.integers(0, 1000, rng.integers(0, 90)))]
+    data = np.frombuffer(" ".join(parts).encode(), np.uint8)
+    whole = list(D.scan(data, np.array([0, len(data)]), items, 1.0, 0.8))
+    monkeypatch.setattr(D, "STEP", step)
+    assert [x[:3] for x in D.scan(data, np.array([0, len(data)]), items, 1.0, 0.8)] == [x[:3] for x in whole] and len(whole) == 2
+
+
+@pytest.mark.parametrize("light", [1.0, 0.2])
+def test_fingerprints_keep_windows_that_count(light):
+    """Recall of the radius at similarity 0.8 to 0.9, where a third of the item's shingles weigh less."""
+    rng = np.random.default_rng(14)
+    kept = seen = 0
+    for trial in range(300):
+        n = int(rng.integers(20, 200))
+        names = rng.integers(1, 1 << 63, n).astype(np.uint64)
+        weights = np.where(rng.random(n) < 0.33, light, 1.0)
+        items = D.Items([{"item_id": 0, "words": n + 4, "names": names.astype(np.int64).tolist(), "weights": weights.tolist()}])
+        window, order, lost, new = names.copy(), rng.permutation(n), 0.0, 0.0
+        for j in order.tolist():  # replaced shingles cost their weight and bring another one's
+            if (weights.sum() - lost - weights[j]) / (weights.sum() + new + 1.0) < 0.8:
+                break
+            lost, new = lost + weights[j], new + 1.0
+            window[j] = rng.integers(1, 1 << 63)
+        text = np.append(window, np.zeros(4, np.uint64))
+        near, _, _ = D.near_windows(text, np.arange(n + 4) < n, np.array([0]), 0, items, 1.0)
+        seen, kept = seen + 1, kept + int(near[0])
+    assert kept / seen >= 0.99
