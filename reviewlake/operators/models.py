@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LogisticRegression,
     NaiveBayes,
     OneVsRest,
@@ -30,6 +29,7 @@ from reviewlake.functions import lexicons as lx
 from reviewlake.functions.labels import class_label
 from reviewlake.functions.text import strings
 from reviewlake.operators import metrics
+from reviewlake.operators.boosting import JointBoosting
 from reviewlake.operators.squared_hinge import SquaredHinge
 from reviewlake.session import settled
 
@@ -99,9 +99,9 @@ def forest(rows: int | None = None, trees: int = 200, depth: int = 12) -> Random
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, weightCol="weight", featureSubsetStrategy="sqrt")
 
 
-def boosting(rows: int | None = None, rounds: int = 150, depth: int = 3) -> OneVsRest:
-    """One binary booster per class: the built-in one knows two classes only."""
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=SEED), parallelism=5)
+def boosting(rows: int | None = None, rounds: int = 150, depth: int = 3) -> JointBoosting:
+    """One tree per class and round on probabilities that all classes share."""
+    return JointBoosting(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=SEED)
 
 
 def linear_svc(rows: int, max_iter: int = 1500, c: float = 1.0) -> SquaredHinge:

@@ -70,7 +70,7 @@ class Block:
         return loss, gradient
 
 
-def _packed(rows: Iterator) -> Iterator[Block]:
+def packed(rows: Iterator) -> Iterator[Block]:
     """Blocks of BLOCK_ROWS rows; dense vectors become sparse ones."""
     held = []
     for features, label, weight in rows:
@@ -141,7 +141,7 @@ class SquaredHinge(
         features, label = F.col(self.getFeaturesCol()), F.col(self.getLabelCol())
         weight = F.col(self.getWeightCol()) if self.isSet("weightCol") else F.lit(1.0)
         rows = dataset.select(features.alias("x"), label.cast("int").alias("y"), weight.cast("double").alias("s")).dropna()
-        blocks = rows.rdd.mapPartitions(_packed).persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = rows.rdd.mapPartitions(packed).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             first = rows.first()
             if first is None:
