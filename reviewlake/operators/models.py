@@ -91,8 +91,9 @@ def class_weights(train: DataFrame) -> DataFrame:
 
 
 def logistic(rows: int, max_iter: int = 1000, c: float = 1.0) -> LogisticRegression:
-    """L2 strength 1/C on the sum of losses is 1/(C x rows) on their mean; `rows` are the training rows."""
-    return LogisticRegression(family="multinomial", maxIter=max_iter, regParam=1.0 / (c * rows), weightCol="weight")
+    """L2 strength 1/C on the sum of losses is 1/(C x rows) on their mean; `rows` are the training rows. The strength holds for
+    the coefficients of the features as they are."""
+    return LogisticRegression(family="multinomial", maxIter=max_iter, regParam=1.0 / (c * rows), weightCol="weight", standardization=False)
 
 
 def forest(rows: int | None = None, trees: int = 200, depth: int = 12) -> RandomForestClassifier:
