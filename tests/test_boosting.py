@@ -82,3 +82,28 @@ def test_no_rows_one_class_and_negative_values(spark):
         B.JointBoosting(maxIter=1).fit(frame(spark, -x, y))
     same = B.JointBoosting(maxIter=2).fit(frame(spark, x, np.zeros(30, int)))
     assert {r.prediction for r in same.transform(df).collect()} == {0.0} and same.transform(df.limit(0)).count() == 0
+
+
+def test_the_driver_gets_splits_and_not_sums(spark):
+    """What a pass brings to the driver does not grow with the features, and is the best of all sums."""
+    import pickle
+
+    def passed(width):
+        x, y = made(rows=60, width=width)
+        low, step = np.array([c[c > 0].min() if c.any() else 0.0 for c in x.T]), np.full(width, 1 / B.BINS)
+        rows = [B.Rows(block_of(x[i::3], y[i::3]), low, step, np.zeros(3), i) for i in range(3)]
+        sent = ([], [B.Tree() for _ in range(3)], 0, width, (1, 0, 1.0))
+        state = spark.sparkContext.parallelize(rows, 3)
+        got = list(B.best_splits(state, spark.sparkContext.broadcast(sent), width, 1, 1, 3))
+        parts = [r.sums(*sent) for r in rows]
+        want = list(B.choose(*B.added(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])), width, 1, 1))
+        assert [(k, n, s[:2]) for k, n, _, s in got] == [(k, n, s[:2]) for k, n, _, s in want]
+        assert all(np.allclose(a[2], b[2]) and np.allclose(a[3][3], b[3][3]) for a, b in zip(got, want, strict=True))
+        return len(pickle.dumps(got))
+
+    assert abs(passed(400) - passed(8)) < 200
+
+
+def block_of(x, y):
+    vector = lambda r: Vectors.sparse(len(r), {i: float(v) for i, v in enumerate(r) if v})
+    return next(iter(B.packed([(vector(r), int(k), 1.0) for r, k in zip(x, y, strict=True)])))
