@@ -1,3 +1,5 @@
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +150,28 @@ def test_keys_mix_any_ranges_of_ids(spark):
     df = spark.range(2000).selectExpr("IF(id < 1000, id, id + 2000000000) AS review_id", "5 AS reviewRating")
     got = sampling.stratified_split(df).groupBy("split").agg(F.avg((F.col("review_id") < 1000).cast("int")).alias("share")).collect()
     assert all(abs(r.share - 0.5) < 0.1 for r in got)
+
+
+def test_term_counts_come_from_one_pass_over_distinct_texts(spark):
+    """Against a plain count, with repeated and null texts; no term is exploded twice and no join follows."""
+    texts = ["Good good soup", "good soup", "a b", None, "Good good soup", "naïve soup, soup!"]
+    got = models.term_counts(spark.createDataFrame([(t,) for t in texts], "reviewText string"))
+    uses, rows = {}, {}
+    for t in texts:
+        w = re.findall(r"[a-z0-9_]{2,}", (t or "").lower())
+        terms = [" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+        for term in terms:
+            uses[term] = uses.get(term, 0) + 1
+        for term in set(terms):
+            rows[term] = rows.get(term, 0) + 1
+    assert {r.term: (r.uses, r["rows"]) for r in got.collect()} == {t: (uses[t], rows[t]) for t in uses}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Join" not in plan
+
+
+def test_weights_from_counts_equal_the_fit(spark):
+    train = review_view.reviews(spark, DATA).select("reviewText").limit(300)
+    train = settled(train, "test-weights")
+    got = {r.position: (r.term, r.idf) for r in models.weight_table(train, 200).collect()}
+    want = {r.position: (r.term, r.idf) for r in models.term_table(models.fit_tfidf(train, 200), spark).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=1e-12) for i in want)
