@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reviewlake.functions import lexicons as lx
+from reviewlake.functions.search import Found, searcher
 from reviewlake.functions.text import any_hit, hits, strings
 
 ESCALATION_NOTES = {
@@ -20,19 +21,20 @@ ESCALATION_NOTES = {
 }
 
 
-def _contains(text_lc: Column, phrases, match: str) -> Column:
-    if match == "word":
-        return text_lc.rlike(r"\b(?:" + "|".join(phrases) + r")\b") if phrases else F.lit(False)
-    return any_hit(text_lc, phrases)
+_search, _found = searcher([p for rule in lx.CRITICAL_ISSUES.values() for p in (*rule["keywords"], *rule["exclusions"])])
 
 
-def category_hit(text_lc: Column, category: str, match: str = "substring") -> Column:
+def category_hit(text_lc: Column, found: Found, category: str, match: str = "substring") -> Column:
     """Whether a keyword occurs; one exclusion word silences the whole category.
 
     `match="word"` asks for whole words, so that "chair" is no "hair".
     """
     rule = lx.CRITICAL_ISSUES[category]
-    return _contains(text_lc, rule["keywords"], match) & ~any_hit(text_lc, rule["exclusions"])
+    if match == "word":
+        hit = text_lc.rlike(r"\b(?:" + "|".join(rule["keywords"]) + r")\b") if rule["keywords"] else F.lit(False)
+    else:
+        hit = found.any_hit(rule["keywords"])
+    return hit & ~found.any_hit(rule["exclusions"])
 
 
 def matched_keywords(text_lc: Column, category: str) -> Column:
@@ -55,9 +57,10 @@ def issues(text_lc: Column) -> Column:
 
 
 def categories(text_lc: Column, match: str = "substring") -> Column:
-    """Names of the found categories, from generated code only."""
+    """Names of the found categories, from one search for all keywords."""
+    found = _found(_search(text_lc))
     return F.array_compact(
-        F.array(*[F.when(category_hit(text_lc, c, match), F.lit(c)) for c in lx.CRITICAL_ISSUES])
+        F.array(*[F.when(category_hit(text_lc, found, c, match), F.lit(c)) for c in lx.CRITICAL_ISSUES])
     )
 
 

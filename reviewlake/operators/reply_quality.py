@@ -12,10 +12,21 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions import lexicons as lx
 from reviewlake.functions import text as tx
-from reviewlake.operators.aspects import tokens, word_signs
+from reviewlake.functions.distributed import pinned
+from reviewlake.functions.search import Found, grading
+from reviewlake.operators.aspects import NEGATION_WINDOW
 
 TARGET = 8
 WEAK = 6
+_search, _found = grading(
+    [
+        p for phrases in (
+            lx.EMPATHY_HIGH, lx.EMPATHY_MEDIUM, lx.APPRECIATION_WORDS, lx.GENERIC_PHRASES, lx.SPECIFIC_TERMS, lx.ACTION_WORDS,
+            lx.CONTACT_PHRASES, lx.RESOLUTION_PHRASES, lx.RETURN_PHRASES, lx.CASUAL_TERMS,
+        ) for p in phrases
+    ],
+    lx.PRONOUNS, lx.POSITIVE_WORDS, lx.NEGATIVE_WORDS, lx.NEGATIONS, NEGATION_WINDOW,
+)
 
 
 def _clamped(score: Column, floor: bool = True) -> Column:
@@ -23,37 +34,36 @@ def _clamped(score: Column, floor: bool = True) -> Column:
     return F.greatest(top, F.lit(0.0)) if floor else top
 
 
-def empathy(reply: Column, lc: Column, words: Column) -> Column:
+def empathy(reply: Column, found: Found, pronouns: Column) -> Column:
     """Capped at 10, without a floor."""
-    pronouns = F.size(F.filter(words, lambda w: w.isin(*lx.PRONOUNS)))
     marks = tx.occurrences(reply, "!")
     shouting = F.when(marks.isin(1, 2), 1.0).when(marks > 3, -1.0).otherwise(0.0)
     return _clamped(
-        tx.n_hits(lc, lx.EMPATHY_HIGH) * F.lit(3.0)
-        + tx.n_hits(lc, lx.EMPATHY_MEDIUM) * F.lit(1.5)
+        found.n_hits(lx.EMPATHY_HIGH) * F.lit(3.0)
+        + found.n_hits(lx.EMPATHY_MEDIUM) * F.lit(1.5)
         + pronouns * F.lit(0.5)
         + shouting,
         floor=False,
     )
 
 
-def specificity(lc: Column, positive: Column, reply_words: Column, review_words: Column, n_words: Column) -> Column:
+def specificity(found: Found, positive: Column, reply_words: Column, review_words: Column, n_words: Column) -> Column:
     """`reply_words` and `review_words` are distinct plain words; a missing review has none."""
-    thanks = F.when(tx.any_hit(lc, lx.APPRECIATION_WORDS), 3.0).otherwise(0.0)
+    thanks = F.when(found.any_hit(lx.APPRECIATION_WORDS), 3.0).otherwise(0.0)
     short_ok = F.when(n_words < 15, -1.0).when(n_words > 60, -0.5).otherwise(1.0)
     reused = F.size(F.array_intersect(review_words, reply_words)) / F.greatest(F.size(review_words), F.lit(1))
     detail = (
-        tx.n_hits(lc, lx.GENERIC_PHRASES) * F.lit(-1.5) + tx.n_hits(lc, lx.SPECIFIC_TERMS) * F.lit(2.0) + reused * F.lit(4.0)
+        found.n_hits(lx.GENERIC_PHRASES) * F.lit(-1.5) + found.n_hits(lx.SPECIFIC_TERMS) * F.lit(2.0) + reused * F.lit(4.0)
     )
     long_ok = F.when(n_words < 25, -2.0).when(n_words > 100, -1.0).otherwise(1.0)
     return _clamped(F.when(positive, F.lit(5.0) + thanks + short_ok).otherwise(F.lit(5.0) + detail + long_ok))
 
 
-def actionability(lc: Column, positive: Column, negative: Column) -> Column:
-    contact = F.when(tx.any_hit(lc, lx.CONTACT_PHRASES), 3.0).otherwise(0.0)
-    resolution = F.when(negative, F.when(tx.any_hit(lc, lx.RESOLUTION_PHRASES), 3.0).otherwise(-2.0)).otherwise(0.0)
-    invite = F.when(positive & tx.any_hit(lc, lx.RETURN_PHRASES), 2.0).otherwise(0.0)
-    return _clamped(tx.n_hits(lc, lx.ACTION_WORDS) * F.lit(2.0) + contact + resolution + invite)
+def actionability(found: Found, positive: Column, negative: Column) -> Column:
+    contact = F.when(found.any_hit(lx.CONTACT_PHRASES), 3.0).otherwise(0.0)
+    resolution = F.when(negative, F.when(found.any_hit(lx.RESOLUTION_PHRASES), 3.0).otherwise(-2.0)).otherwise(0.0)
+    invite = F.when(positive & found.any_hit(lx.RETURN_PHRASES), 2.0).otherwise(0.0)
+    return _clamped(found.n_hits(lx.ACTION_WORDS) * F.lit(2.0) + contact + resolution + invite)
 
 
 def has_caps_word(reply: Column) -> Column:
@@ -64,7 +74,7 @@ def has_caps_word(reply: Column) -> Column:
     )
 
 
-def professionalism(reply: Column, lc: Column, harsh: Column, n_words: Column) -> Column:
+def professionalism(reply: Column, found: Found, harsh: Column, n_words: Column) -> Column:
     def minus(condition: Column, points: float) -> Column:
         return F.when(condition, -points).otherwise(0.0)
 
@@ -73,7 +83,7 @@ def professionalism(reply: Column, lc: Column, harsh: Column, n_words: Column) -
     return _clamped(
         F.lit(10.0)
         + minus(harsh, 2.0)
-        + tx.n_hits(lc, lx.CASUAL_TERMS) * F.lit(-1.5)
+        + found.n_hits(lx.CASUAL_TERMS) * F.lit(-1.5)
         + minus(~capital, 1.0)
         + minus(~F.substring(reply, -1, 1).isin(".", "!", "?"), 0.5)
         + minus(reply.contains("!!"), 2.0)
@@ -82,10 +92,8 @@ def professionalism(reply: Column, lc: Column, harsh: Column, n_words: Column) -
     )
 
 
-def is_harsh(signs: Column) -> Column:
+def is_harsh(p: Column, n: Column) -> Column:
     """Lexicon polarity (p - n) / (p + n) below -0.5."""
-    p = F.size(F.filter(signs, lambda s: s > 0))
-    n = F.size(F.filter(signs, lambda s: s < 0))
     return (p - n) / F.nullif((p + n), F.lit(0)) < -0.5
 
 
@@ -107,10 +115,10 @@ def score_replies(df: DataFrame, reply: str = "generated_response", review: str
     An empty reply has no dimensions, total 0 and grade F.
     """
     r = F.col(reply)
-    staged = df.withColumn("__lc", F.lower(r)).withColumn("__rl", F.lower(F.coalesce(review, F.lit(""))))
+    # Pinned: the search would have the steps behind a derived reply copied into one expression.
+    staged = pinned(df.withColumn("__rl", F.lower(F.coalesce(review, F.lit("")))), "__lc", F.lower(r))
     staged = (
-        staged.withColumn("__words", tx.word_runs(F.col("__lc")))
-        .withColumn("__signs", word_signs_of(F.col("__lc")))
+        staged.withColumn("__found", _search(F.col("__lc")))
         .withColumn("__n", tx.word_count(r))
         .withColumn("__pos", F.coalesce(F.col(label).isin(*lx.POSITIVE_LABELS), F.lit(False)))
         .withColumn("__neg", F.coalesce(F.col(label).isin(*lx.NEGATIVE_LABELS), F.lit(False)))
@@ -119,12 +127,13 @@ def score_replies(df: DataFrame, reply: str = "generated_response", review: str
     staged = staged.withColumn("__reply_words", F.when(~F.col("__pos"), tx.plain_words(F.col("__lc"))))
     staged = staged.withColumn("__review_words", F.when(~F.col("__pos"), tx.plain_words(F.col("__rl"))))
     filled = r.isNotNull() & (r != "")
-    lc, n, pos, neg = F.col("__lc"), F.col("__n"), F.col("__pos"), F.col("__neg")
+    n, pos, neg, facts = F.col("__n"), F.col("__pos"), F.col("__neg"), F.col("__found")
+    found, harsh = _found(facts), is_harsh(facts["positive_words"], facts["negative_words"])
     raw = {
-        "empathy": empathy(r, lc, F.col("__words")),
-        "specificity": specificity(lc, pos, F.col("__reply_words"), F.col("__review_words"), n),
-        "actionability": actionability(lc, pos, neg),
-        "professionalism": professionalism(r, lc, F.coalesce(is_harsh(F.col("__signs")), F.lit(False)), n),
+        "empathy": empathy(r, found, facts["pronouns"]),
+        "specificity": specificity(found, pos, F.col("__reply_words"), F.col("__review_words"), n),
+        "actionability": actionability(found, pos, neg),
+        "professionalism": professionalism(r, found, F.coalesce(harsh, F.lit(False)), n),
     }
     scored = staged.select(
         *df.columns, "__pos", "__neg", *[F.when(filled, v).alias(f"{k}_raw") for k, v in raw.items()]
@@ -145,11 +154,6 @@ def score_replies(df: DataFrame, reply: str = "generated_response", review: str
     )
 
 
-def word_signs_of(text_lc: Column) -> Column:
-    """Signs of the words of a text; the words are bound once by the outer lambda."""
-    return F.get(F.transform(F.array(tokens(text_lc)), word_signs), F.lit(0))
-
-
 BATCH_COLUMNS = ("response_quality_score", "response_grade", *[f"{d}_score" for d in lx.DIMENSIONS])
 
 

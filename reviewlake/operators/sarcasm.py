@@ -9,12 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reviewlake.functions import lexicons as lx
-from reviewlake.functions.text import any_hit, n_hits
+from reviewlake.functions.search import searcher
 
 THRESHOLD = 0.6
 # A text without the words a pattern begins with cannot match it. Looking for
 # them first is a plain byte search, and few texts then reach the regex.
 BEGINNINGS = ("oh ", "just ", "yeah", "of course", "obviously", "clearly")
+_search, _found = searcher((*BEGINNINGS, *lx.SARCASM_CONTEXT, *lx.SARCASM_POSITIVE))
 
 
 def line_pattern(pattern: str) -> str:
@@ -23,12 +24,13 @@ def line_pattern(pattern: str) -> str:
 
 
 def score(text: Column, text_lc: Column) -> Column:
+    seen = _found(_search(text_lc))
     patterns = F.lit(0)
     for beginning, pattern in zip(BEGINNINGS, lx.SARCASM_PATTERNS, strict=True):
-        found = text_lc.contains(beginning) & text_lc.rlike(line_pattern(pattern))
+        found = seen.any_hit([beginning]) & text_lc.rlike(line_pattern(pattern))
         patterns = patterns + found.cast("int")
-    context = n_hits(text_lc, lx.SARCASM_CONTEXT)
-    contrast = any_hit(text_lc, lx.SARCASM_POSITIVE) & (context >= 2)
+    context = seen.n_hits(lx.SARCASM_CONTEXT)
+    contrast = seen.any_hit(lx.SARCASM_POSITIVE) & (context >= 2)
     shouting = text.contains("!") & (context > 0)
     return (
         patterns.cast("double") * F.lit(0.4)

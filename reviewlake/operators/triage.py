@@ -29,7 +29,8 @@ def final_label(label: Column, sarcastic: Column, issue: Column) -> Column:
 
 def add_issues(df: DataFrame) -> DataFrame:
     """Add the lower-cased text and the found categories, which callers filter on."""
-    return pinned(df.withColumn("text_lc", F.lower("reviewText")), "categories", critical.categories(F.col("text_lc")))
+    found = df.withColumn("text_lc", F.lower("reviewText")).withColumn("__found", critical.categories(F.col("text_lc")))
+    return pinned(found, "categories", F.col("__found")).drop("__found")
 
 
 def add_sentiment(df: DataFrame, prediction: str = "p") -> DataFrame:
