@@ -1,8 +1,9 @@
 """Clause-level aspect sentiment, computed inside each row.
 
-A review's clauses, tokens and aspect scores are arrays of its own row. No
-explode, join or shuffle is needed, so the cost grows with the text alone and
-a long review cannot make a hot key. Steps are separate columns on purpose:
+A review's clauses and aspect scores are arrays of its own row. No explode,
+join or shuffle is needed, so the cost grows with the text alone and a long
+review cannot make a hot key. Words and keywords of the clauses are found in
+one search (`functions/search.py`). Steps are separate columns on purpose:
 each is used several times by the next one and must be evaluated once.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions import lexicons as lx
+from reviewlake.functions.search import clause_facts
 from reviewlake.functions.text import any_hit, strings
 
 CLAUSE_CUT = 0.1
@@ -38,31 +40,7 @@ def split_clauses(text: Column, text_lc: Column) -> Column:
     return F.when(marker.isNull(), F.array(text)).otherwise(F.split(text, pattern))
 
 
-def tokens(text_lc: Column) -> Column:
-    """Words in order, with the contracted `n't` as a word of its own."""
-    parted = F.regexp_replace(text_lc, "([a-z])n't", "$1 n't")
-    return F.regexp_extract_all(parted, F.lit(r"(n't|\p{L}+)"), 1)
-
-
-def word_signs(words: Column) -> Column:
-    """+1, -1 or 0 per word; a negation among the three words before flips it."""
-    def sign(word: Column, i: Column) -> Column:
-        before = F.slice(words, F.greatest(i - (NEGATION_WINDOW - 1), F.lit(1)), F.least(i, F.lit(NEGATION_WINDOW)))
-        negated = F.exists(before, lambda w: w.isin(*lx.NEGATIONS))
-        return (
-            F.when(word.isin(*lx.POSITIVE_WORDS), F.when(negated, -1).otherwise(1))
-            .when(word.isin(*lx.NEGATIVE_WORDS), F.when(negated, 1).otherwise(-1))
-            .otherwise(0)
-        )
-
-    return F.transform(words, sign)
-
-
-def _counts(signs: Column) -> Column:
-    return F.struct(
-        F.size(F.filter(signs, lambda s: s > 0)).alias("positive_words"),
-        F.size(F.filter(signs, lambda s: s < 0)).alias("negative_words"),
-    )
+_facts = clause_facts(list(lx.ASPECT_KEYWORDS.values()), lx.POSITIVE_WORDS, lx.NEGATIVE_WORDS, lx.NEGATIONS, NEGATION_WINDOW)
 
 
 def _scored(clause: Column, counts: Column) -> Column:
@@ -76,20 +54,21 @@ def _scored(clause: Column, counts: Column) -> Column:
         banded(score, CLAUSE_CUT).alias("sentiment"),
         F.round(score, 3).alias("score"),
         F.round(F.least(total / F.lit(5.0), F.lit(1.0)), 3).alias("confidence"),
+        counts["about"].alias("about"),
     )
 
 
 def add_clauses(df: DataFrame, text: str = "reviewText") -> DataFrame:
-    """Add `clauses`, an array of scored clauses (lexicon scorer)."""
+    """Add `clauses`, an array of scored clauses (lexicon scorer); bit i of `about` says that a clause mentions aspect i.
+
+    Words are runs of letters, with the contracted `n't` as a word of its own; a negation among the three before turns one over.
+    """
     staged = df.withColumn("__lc", F.lower(text))
     staged = staged.withColumn("__parts", split_clauses(F.col(text), F.col("__lc")))
-    staged = staged.withColumn("__words", F.transform("__parts", lambda c: tokens(F.lower(c))))
-    staged = staged.withColumn(
-        "__counts", F.transform(F.transform("__words", word_signs), _counts)
-    )
+    staged = staged.withColumn("__facts", _facts(F.transform("__parts", F.lower)))
     return staged.withColumn(
-        "clauses", F.transform("__parts", lambda c, i: _scored(c, F.get("__counts", i)))
-    ).drop("__lc", "__parts", "__words", "__counts")
+        "clauses", F.transform("__parts", lambda c, i: _scored(c, F.get("__facts", i)))
+    ).drop("__lc", "__parts", "__facts")
 
 
 def mentions(clause_lc: Column, aspect: str) -> Column:
@@ -104,13 +83,10 @@ def _mean(items: Column, field: str) -> Column:
 def add_aspects(df: DataFrame) -> DataFrame:
     """Add `aspects`: for each of the five aspects, in order, its sentiment, mean
     clause score, mean confidence and number of clauses that mention it."""
-    staged = df.withColumn(
-        "__lowered", F.transform("clauses", lambda c: c.withField("lc", F.lower(c["clause"])))
-    )
-    def about(aspect: str) -> Column:
-        return F.filter("__lowered", lambda c: mentions(c["lc"], aspect))
+    def about(i: int) -> Column:
+        return F.filter("clauses", lambda c: c["about"].bitwiseAND(F.lit(1 << i)) != 0)
 
-    per_aspect = F.array(*[about(a) for a in lx.ASPECTS])
+    per_aspect = F.array(*[about(i) for i in range(len(lx.ASPECTS))])
     means = F.transform(
         per_aspect,
         lambda found, i: F.struct(
@@ -121,7 +97,7 @@ def add_aspects(df: DataFrame) -> DataFrame:
             _mean(found, "confidence").alias("sure"),
         ),
     )
-    staged = staged.withColumn("__means", means)
+    staged = df.withColumn("__means", means)
     return staged.withColumn(
         "aspects",
         F.transform(
@@ -135,7 +111,7 @@ def add_aspects(df: DataFrame) -> DataFrame:
                 m["num_mentions"].alias("num_mentions"),
             ),
         ),
-    ).drop("__lowered", "__means")
+    ).drop("__means")
 
 
 def _names(aspects: Column, test: Callable[[Column], Column]) -> Column:
