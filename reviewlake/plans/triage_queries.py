@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.functions import lexicons as lx
+from reviewlake.functions.distributed import once_per
 from reviewlake.functions.labels import rating_label
 from reviewlake.operators import aspects, critical, replies, reply_quality, runs, sarcasm, triage
 from reviewlake.session import settled
@@ -42,8 +43,16 @@ def reply_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return ours.unionByName(review_view.conversation_pairs(spark, folder))
 
 
-def _scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return reply_quality.score_replies(reply_pairs(spark, folder))
+def _scored_pairs(spark: SparkSession, folder: str, score=reply_quality.score_replies) -> DataFrame:
+    """`reply_pairs` with their grades. Reply and grade of a review depend on its text and prediction alone, so each distinct
+    pair of these is triaged and graded once."""
+    ours = review_view.inbox(spark, folder).select(ID, "reviewText", "p")
+
+    def graded(texts: DataFrame) -> DataFrame:
+        return score(triage.triage(texts).select("reviewText", "p", "generated_response", "sentiment"))
+
+    graded_once = once_per(ours, "reviewText", ["p"], graded, "graded").drop("p")
+    return graded_once.unionByName(score(review_view.conversation_pairs(spark, folder)))
 
 
 # --- triage ----------------------------------------------------------------
@@ -303,7 +312,7 @@ def quality_grade(spark, folder):
 
 
 def quality_batch(spark, folder):
-    return reply_quality.batch(reply_pairs(spark, folder)).select(ID, *reply_quality.BATCH_COLUMNS)
+    return _scored_pairs(spark, folder, reply_quality.batch).select(ID, *reply_quality.BATCH_COLUMNS)
 
 
 def quality_report(spark, folder):
