@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions import lexicons as lx
 from reviewlake.functions.distributed import n_buckets, running_totals, with_bucket
 
 LATEST = 50
-ID_SPACE = Decimal(10) ** 19  # above every 64-bit id, so (date, id) order is kept
 
 
 def batch_summary(triaged: DataFrame, labels=lx.LABELS_AMAZING) -> DataFrame:
@@ -33,6 +30,12 @@ def label_counters(triaged: DataFrame) -> DataFrame:
     return counts.select("sentiment", "count", F.round(F.col("count") / total, 6).alias("share"))
 
 
+def _day_and_id(df: DataFrame, day: str, row_id: str) -> Column:
+    """A double that does not fall along (day, id): the day, and how far the id lies between the least and the largest one."""
+    low, high = (df.agg(f(F.col(row_id).cast("double"))).scalar() for f in (F.min, F.max))
+    return F.unix_date(day) + (F.col(row_id).cast("double") - low) / (high - low + 1.0)
+
+
 def running_confidence(triaged: DataFrame, group: str = "placeName") -> DataFrame:
     """Per row, in (date, id) order within its group: totals so far and mean confidence of the successes.
 
@@ -47,8 +50,7 @@ def running_confidence(triaged: DataFrame, group: str = "placeName") -> DataFram
         ok.cast("long").alias("good"),
         F.when(ok, F.col("confidence")).otherwise(0.0).cast("decimal(20,12)").alias("sure"),
     )
-    order = F.unix_date("reviewDate").cast("decimal(38,0)") * F.lit(ID_SPACE) + F.col("review_id")
-    placed = with_bucket(slim, order, n_buckets(slim))
+    placed = with_bucket(slim, _day_and_id(slim, "reviewDate", "review_id"), n_buckets(slim))
     cum = running_totals(placed, [group], ["reviewDate", "review_id"], ["n", "good", "sure"])
     return cum.select(
         "review_id", group,

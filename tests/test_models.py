@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
+from reviewlake.functions import distributed as ds
 from reviewlake.operators import fairness, metrics, models, runs, sampling, scorer, triage
 from reviewlake.session import scratch_dir, settled
 from reviewlake.sources import review_view
@@ -113,6 +114,20 @@ def test_stream_equals_batch(spark):
     assert last.agg(F.sum("rows")).first()[0] == 300
 
 
+def test_a_day_of_one_place_is_cut_by_close_ids(spark, monkeypatch):
+    """Rows of one place and day spread over buckets that do not fall along the ids, and none without a date or with equal ids is lost."""
+    held = []
+    monkeypatch.setattr(runs, "running_totals", lambda rows, *more: held.append(rows) or ds.running_totals(rows, *more))
+    row = "id + 2000000000 AS review_id, 'p' AS placeName, date'2024-05-01' AS reviewDate, 0.5 AS confidence, 'success' AS status"
+    df = spark.range(4000).selectExpr(*row.split(", "))
+    odd = spark.createDataFrame([(5, "p", None, 0.5, "failed"), (6, None, None, 0.5, "success")], "review_id long, placeName string, reviewDate date, confidence double, status string")
+    got = {r.review_id: (r.total_processed, r.failed) for r in runs.running_confidence(df.unionByName(odd)).collect()}
+    assert got == {2000000000 + i: (i + 2, 1) for i in range(4000)} | {5: (1, 1), 6: (1, 0)}
+    buckets = [r["__b"] for r in held[0].orderBy("reviewDate", "review_id").collect()]
+    assert buckets == sorted(buckets) and len(set(buckets)) > 12
+    assert runs.running_confidence(df.limit(0)).count() == 0
+
+
 def test_running_confidence_matches_a_plain_loop(spark):
     rows = [(i, "hot" if i % 3 else "p", i % 5 != 0, round(0.4 + i % 7 / 10, 3)) for i in range(500)]
     df = spark.createDataFrame(rows, "review_id long, placeName string, ok boolean, confidence double").select(
