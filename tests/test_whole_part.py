@@ -45,3 +45,26 @@ def test_score_reviews_learns_from_every_training_row(spark, monkeypatch):
     train = sampling.stratified_split(reviews.select("review_id", "reviewRating")).filter("split = 'train'").count()
     assert held[0].train.agg(F.sum("n")).first()[0] == held[1] == train > 5 * Q.ROWS_PER_RATING
     assert got.count() == reviews.count()
+
+
+def test_train_gbt_learns_from_every_training_row(spark, monkeypatch):
+    boosting = models.boosting
+    monkeypatch.setattr(models, "boosting", lambda rows, weight: boosting(rows, rounds=2, weight=weight))
+    got = {r.split: r for r in Q.train_gbt(spark, DATA).collect()}
+    want = {r.split: r["n"] for r in sampling.stratified_split(Q.review_view.reviews(spark, DATA).select("review_id", "reviewRating")).groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert {s: r.support for s, r in got.items()} == {s: want[s] for s in ("train", "val")} and want["train"] > 5 * Q.ROWS_PER_RATING
+
+
+def test_boosting_weighs_a_row_as_often_as_it_stands(spark, parts, monkeypatch):
+    """Trees of rows with weights are those of the repeated rows; sums by sorted keys equal those in an array."""
+    from reviewlake.operators import boosting as B
+
+    data = models.prepare_whole(parts)
+    each = data.train.select("label", "features", "weight", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"), "n")
+    each = each.withColumn("weight", F.col("weight") / F.col("n")).repartition(3)
+    models_of = [models.boosting(rounds=3, weight="weight").fit(df) for df in (data.train, each)]
+    monkeypatch.setattr(B, "DENSE", 0)
+    models_of.append(models.boosting(rounds=3, weight="weight").fit(data.train))
+    for other in models_of[1:]:
+        assert [[t.splits for t in trees] for trees in other.rounds] == [[t.splits for t in trees] for trees in models_of[0].rounds]
+        assert np.allclose([x for _, x in other.losses], [x for _, x in models_of[0].losses])
